@@ -27,7 +27,7 @@ def tokens(col, variant: str = "alnum") -> Column:
     """Token array: ``alnum``, ``stop`` (alnum without stop words) or ``hyphen``."""
     low = F.lower(_col(col))
     if variant == "hyphen":
-        return F.regexp_extract_all(low, F.lit(r"\b([a-z0-9\-]+)\b"), F.lit(1))
+        return F.regexp_extract_all(low, F.lit(r"(?U)\b([a-z0-9\-]+)\b"), F.lit(1))
     base = F.regexp_extract_all(low, F.lit(r"([a-zA-Z0-9]+)"), F.lit(1))
     if variant == "alnum":
         return base

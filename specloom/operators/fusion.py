@@ -12,7 +12,7 @@ from specloom.functions import vocab as V
 from specloom.functions.text import is_latin
 from specloom.operators import dense
 from specloom.operators.bm25 import Bm25Index, bm25_scores
-from specloom.operators.ranking import exact_rank, maxnorm, topk, with_group_stats
+from specloom.operators.ranking import exact_rank, maxnorm, topk
 from specloom.session import cut_lineage
 
 
@@ -177,17 +177,15 @@ def supersession_penalty(hits: DataFrame, penalty: float = 2.0, k: int = 10) ->
     ``superseded_by`` and ``nearby_superseded`` (pushed out of the top k by a family leader that is
     itself in the top three). A result set is a ranked list, so its window is short.
     """
-    stats = with_group_stats(hits, ["query"], _lo=F.min("score"), _hi=F.max("score"))
+    results = Window.partitionBy("query")
+    stats = hits.withColumn("_lo", F.min("score").over(results)).withColumn("_hi", F.max("score").over(results))
     shift = F.when(F.col("_lo") < 0, -F.col("_lo") + 0.01).otherwise(F.lit(0.0))
     top = F.col("_hi") + shift
     scaled = (F.col("score") + shift) * F.when(top > 1.0, F.lit(1.0) / top).otherwise(F.lit(1.0))
     base = stats.withColumn("_orig", F.round(scaled, 12)).drop("_lo", "_hi")
-    leaders = (
-        base.filter((F.col("status") == "active") & (F.col("family") != ""))
-        .groupBy("query", "family")
-        .agg(F.min(F.struct((-F.col("_orig")).alias("s"), F.col("doc"))).alias("_leader"))
-    )
-    joined = base.join(leaders, ["query", "family"], "left")
+    can_lead = (F.col("status") == "active") & (F.col("family") != "")
+    best = F.min(F.when(can_lead, F.struct((-F.col("_orig")).alias("s"), F.col("doc"))))
+    joined = base.withColumn("_leader", best.over(Window.partitionBy("query", "family")))
     hit = (F.col("status") == "superseded") & F.col("_leader").isNotNull()
     floor = F.greatest(F.lit(0.0), -F.col("_leader.s") - 0.1)
     penalised = F.greatest(F.lit(0.0), F.least(F.col("_orig") - penalty, floor))
@@ -197,9 +195,8 @@ def supersession_penalty(hits: DataFrame, penalty: float = 2.0, k: int = 10) ->
     after = Window.partitionBy("query").orderBy(F.desc("_score"), F.desc("_orig"), "doc")
     out = out.withColumn("pre_rank", F.row_number().over(before).cast("bigint"))
     out = out.withColumn("final_rank", F.row_number().over(after).cast("bigint"))
-    heads = out.filter(F.col("final_rank") <= 3).select("query", F.col("doc").alias("superseded_by"),
-                                                        F.lit(True).alias("_head"))
-    out = out.join(heads, ["query", "superseded_by"], "left")
+    heads = F.collect_list(F.when(F.col("final_rank") <= 3, F.col("doc"))).over(results)  # three ids
+    out = out.withColumn("_head", F.array_contains(heads, F.col("superseded_by")))
     nearby = (F.col("pre_rank") <= k) & (F.col("final_rank") > k) & F.coalesce("_head", F.lit(False))
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round("_score", 4)))
     return out.withColumn("nearby_superseded", nearby).withColumn("final_score", clamped).drop("_orig", "_score", "_head")
@@ -259,7 +256,9 @@ def confidence_level(col, hi: float = 0.0, lo: float = -6.0) -> Column:
 def display_score(hits: DataFrame, fused: str, similarity: str) -> DataFrame:
     """Scores in [0, 1] that keep the fused order, anchored at the top hit's similarity."""
     top = F.max(F.when(F.col("rank") == 1, F.least(F.greatest(F.col(similarity), F.lit(0.0)), F.lit(1.0))))
-    stats = with_group_stats(hits, ["query"], _lo=F.min(fused), _hi=F.max(fused), _top=top)
+    results = Window.partitionBy("query")
+    stats = (hits.withColumn("_lo", F.min(fused).over(results)).withColumn("_hi", F.max(fused).over(results))
+             .withColumn("_top", top.over(results)))
     span = F.col("_hi") - F.col("_lo")
     shown = F.round(F.col("_top") * ((F.col(fused) - F.col("_lo")) / span * 0.65 + 0.35), 4)
     return stats.withColumn("display_score", F.when(span <= 0, F.lit(1.0)).otherwise(shown)).drop("_lo", "_hi", "_top")

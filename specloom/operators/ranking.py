@@ -64,18 +64,17 @@ def with_group_stats(df: DataFrame, by: Sequence[str], **stats: Column) -> DataF
 
 
 def minmax(df: DataFrame, by: Sequence[str], col: str, out: str) -> DataFrame:
-    """Per-group min-max scaling; a range of at most 1e-6 gives 0.5."""
-    stats = with_group_stats(df, by, _lo=F.min(col), _hi=F.max(col))
-    span = F.col("_hi") - F.col("_lo")
-    scaled = F.when(span > 1e-6, (F.col(col) - F.col("_lo")) / (span + 1e-6)).otherwise(F.lit(0.5))
-    return stats.withColumn(out, scaled).drop("_lo", "_hi")
+    """Min-max scaling inside each result list (already cut to its top rows, so a list is short);
+    a range of at most 1e-6 gives 0.5."""
+    window = Window.partitionBy(*by)
+    lo, hi = F.min(col).over(window), F.max(col).over(window)
+    return df.withColumn(out, F.when(hi - lo > 1e-6, (F.col(col) - lo) / (hi - lo + 1e-6)).otherwise(F.lit(0.5)))
 
 
 def maxnorm(df: DataFrame, by: Sequence[str], col: str, out: str) -> DataFrame:
-    """Per-group score divided by the group's maximum; a maximum of at most 0 divides by 1."""
-    stats = with_group_stats(df, by, _hi=F.max(col))
-    top = F.when(F.col("_hi") > 0, F.col("_hi")).otherwise(F.lit(1.0))
-    return stats.withColumn(out, F.col(col) / top).drop("_hi")
+    """Score divided by the best of its (short) result list; a best of at most 0 divides by 1."""
+    top = F.max(col).over(Window.partitionBy(*by))
+    return df.withColumn(out, F.col(col) / F.when(top > 0, top).otherwise(F.lit(1.0)))
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, salts: int = 8) -> DataFrame:

@@ -26,7 +26,11 @@ def query(name: str, sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return build(Tables(spark, folder))
+
+        run.area = build.__module__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return build

@@ -139,3 +139,37 @@ EDGE = """edge AS (SELECT DISTINCT concat('S', a.l_partkey) AS source_id, concat
  WHEN 6 THEN 'OVERLAPS_SCOPE_WITH' ELSE 'UNMAPPED_TYPE' END AS type
  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
  WHERE a.l_partkey <> b.l_partkey)"""
+
+
+def drafts(t: Tables) -> DataFrame:
+    """(doc, text): one four-line purchase draft per order line, citing up to three numbers."""
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
+    j = li.join(p, "l_partkey")
+    doc = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                      F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    second = F.concat(F.lit("Testing to IS "), F.col("l_suppkey") % 100 + 100,
+                      F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" (Part "), F.col("l_linenumber") % 3 + 1, F.lit(")")))
+                      .otherwise(F.lit("")), F.lit("."))
+    last = (F.when(F.col("l_returnflag") == "R", F.lit("Goods shall bear the Standard Mark."))
+            .when(F.col("l_returnflag") == "A", F.concat(F.lit("Ref IS 99"), F.col("l_linenumber"), F.lit(":2001")))
+            .otherwise(F.lit("Delivery in 30 days")))
+    text = F.concat(F.lit("Supply of "), "p_name", F.lit(" as per IS "), F.col("l_partkey") % 100 + 100, F.lit(":"),
+                    F.col("p_size") + 1960, F.lit(".\n"), second, F.lit("\n- "), "p_name", F.lit(" "), F.lower("p_type"),
+                    F.lit("\n"), last)
+    return j.select(doc.alias("doc"), text.alias("text"))
+
+
+DRAFT = """draft AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS doc,
+ concat('Supply of ', p_name, ' as per IS ', 100 + l_partkey % 100, ':', 1960 + p_size, '.', chr(10),
+ 'Testing to IS ', 100 + l_suppkey % 100, CASE WHEN l_linenumber % 2 = 0 THEN concat(' (Part ', 1 + l_linenumber % 3, ')') ELSE '' END, '.', chr(10),
+ '- ', p_name, ' ', lower(p_type), chr(10), CASE l_returnflag WHEN 'R' THEN 'Goods shall bear the Standard Mark.'
+ WHEN 'A' THEN concat('Ref IS 99', l_linenumber, ':2001') ELSE 'Delivery in 30 days' END) AS text
+ FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
+_CITE = r"(?i)\b(?:IS\s*/\s*(?:IEC|ISO)|IS|BIS)\s*:?\s*\d{2,5}(?:\s*[-–]\s*\d{1,4})?(?:\s*\(\s*(?:Part|Pt\.?|P)\s*[-\s]?\d+(?:\s*/\s*Sec(?:tion)?\.?\s*\d+)?\s*\))?(?:\s*[:\-–]\s*(?:19|20)\d{2})?"
+CITE = f"""cite0 AS (SELECT doc, regexp_extract_all(text, '{_CITE}') AS m, string_split_regex(text, '{_CITE}') AS g FROM draft),
+cite1 AS (SELECT doc, m, g, unnest(range(1, len(m) + 1)) AS i FROM cite0),
+cite2 AS (SELECT doc, i - 1 AS pos, m[i] AS raw, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS st FROM cite1),
+cite AS (SELECT doc, pos, raw, regexp_extract(raw, '(\\d{{2,5}})', 1) AS base, nullif(regexp_extract(raw, '(?i)(?:Part|Pt\\.?|P)\\s*[-\\s]?(\\d+)', 1), '') AS part,
+ CAST(nullif(regexp_extract(raw, '[:\\-–]\\s*((?:19|20)\\d{{2}})$', 1), '') AS INTEGER) AS year, st::BIGINT AS "start", (st + length(raw))::BIGINT AS "end" FROM cite2)"""

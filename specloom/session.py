@@ -47,9 +47,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and continue from the written copy."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    A lost executor then re-reads the table instead of recomputing the plan, and the optimizer
+    knows the table's real size.
+    """
+    path = new_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
