@@ -170,3 +170,18 @@ CHUNK_DAMPING = 0.88
 RERANK_DEPTH, RERANK_K = 10, 5
 UNCITED_MIN_SIMILARITY = 0.45
 MAX_CHUNK_CHARS, MIN_CHUNK_CHARS, MAX_BODY_CHUNKS, MIN_SCOPE_CHARS = 1200, 120, 8, 30
+
+# --- fixed values: fields of a scanned standard
+DOC_TITLE = (r"(?is)Indian\s+Standard\s+(.+?)(?:\s*\(\s*(?:First|Second|Third|Fourth|Fifth|Sixth|Seventh)"
+             r"\s+Revision\s*\))?\s*(?:\n|ICS|$)")
+DOC_ICS = r"(?i)\bICS\s+([\d.,;\s]+)"
+DOC_COMMITTEE = r"(?i)Sectional\s+Committee\s*,?\s*([A-Z]{2,4}\s*\d{1,3})"
+DOC_SCOPE_START = r"\b1\s+SCOPE\b"
+DOC_ANNEX_START = r"(?i)LIST\s+OF\s+REFERRED\s+INDIAN\s+STANDARDS"
+DOC_ANNEX_END = r"(?i)\bANNEX\s+[B-Z]\b"
+DOC_CLAUSE2 = r"(?s)\b2\s+REFERENCES\b(.{0,2500}?)(?=\b\d+\s+[A-Z]{3,}|\z)"
+CLAUSE_START = r"(?=\b\d+(?:\.\d+)*\s+[A-Z][A-Za-z ]{3,})"
+ARCHIVE_SCOPE = (r"(?ims)^\s*\d*\.?\s*SCOPE\s*\n(.{40,2500}?)"
+                 r"(?=\n\s*\d+\.\s*[A-Z]{3,}|\n\s*[A-Z]{4,}\s*\n)")
+ARCHIVE_SCOPE_SENTENCE = (r"(?i)((?:This standard|This Indian Standard)\s+(?:covers|lays down|specifies|prescribes"
+                          r"|deals with)[^.]{20,600}\.)")

@@ -1,5 +1,6 @@
 from specloom.plans import (  # noqa: F401  (importing registers the queries)
     q_retrieval,
+    q_corpus,
     q_text,
 )
 from specloom.plans.registry import ORACLE, QUERIES

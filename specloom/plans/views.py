@@ -173,3 +173,25 @@ cite1 AS (SELECT doc, m, g, unnest(range(1, len(m) + 1)) AS i FROM cite0),
 cite2 AS (SELECT doc, i - 1 AS pos, m[i] AS raw, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS st FROM cite1),
 cite AS (SELECT doc, pos, raw, regexp_extract(raw, '(\\d{{2,5}})', 1) AS base, nullif(regexp_extract(raw, '(?i)(?:Part|Pt\\.?|P)\\s*[-\\s]?(\\d+)', 1), '') AS part,
  CAST(nullif(regexp_extract(raw, '[:\\-–]\\s*((?:19|20)\\d{{2}})$', 1), '') AS INTEGER) AS year, st::BIGINT AS "start", (st + length(raw))::BIGINT AS "end" FROM cite2)"""
+
+
+def scanned(t: Tables) -> DataFrame:
+    """(key, item_id, text): a scanned-standard text per part, with scope, clause 2, a body and an annex."""
+    k = F.col("p_partkey")
+
+    def n(shift: int):
+        return ((k + shift) % 100 + 100).cast("string")
+
+    y = (F.col("p_size") + 1960).cast("string")
+    text = F.concat(
+        F.lit("Indian Standard\n"), F.upper(F.concat("p_name", F.lit(" "), "p_type")), F.lit(" FOR SITES ( First Revision )\nICS 91.100."),
+        k % 30, F.lit("\nSectional Committee, CED "), k % 50 + 1, F.lit("\n1 SCOPE\nThis standard covers "), "p_name",
+        F.lit(" of brand "), "p_brand", F.lit(" used in general works.\n2 REFERENCES\nIS "), n(7), F.lit(" : "), y, F.lit(", IS "), n(13),
+        F.lit(" (Part 2) and IS "), n(0), F.lit(".\n3 TERMINOLOGY\n"), F.repeat(F.concat("p_name", F.lit(" shall be sound. ")), 10),
+        F.lit("\nANNEX A LIST OF REFERRED INDIAN STANDARDS IS No. "), n(3), F.lit(" : 1981 Title sampling 3025 (Part 1) : 1987 (Part 2) : 2002 "),
+        n(5), F.lit(" : 2003 (Part 9) : 1999 "), n(0), F.lit(" : 1990"))
+    return t.part.select(k.alias("key"), F.concat(F.lit("gov.in.is."), n(0), F.lit("."), y).alias("item_id"), text.alias("text"))
+
+
+SCAN = """scan AS (SELECT p_partkey AS key, 100 + p_partkey % 100 AS n, 100 + (p_partkey + 7) % 100 AS n7, 100 + (p_partkey + 13) % 100 AS n13,
+ 100 + (p_partkey + 3) % 100 AS n3, 100 + (p_partkey + 5) % 100 AS n5, 1960 + p_size AS y, p_name, p_type, p_brand FROM part)"""
