@@ -97,36 +97,30 @@ def family_key(col, mode: str = "parts") -> Column:
     return F.when(t.rlike(pattern), F.concat_ws("|", *[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)]))
 
 
-def citation_array(col) -> Column:
-    """Array of struct(raw, base, part, section, year, start, end) in reading order.
+def extract_citations(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row per citation: (key, pos, raw, base, part, section, year, start, end).
 
-    A citation starts after all text between citations up to it and all earlier citations, so the
-    spans follow from the lengths of the matches and of the gaps around them.
+    A citation ends after all text between citations up to it and all citations up to and including
+    it, so spans follow from the lengths of the matches and of the gaps around them.
     """
-    c = _col(col)
+    c = F.col(text)
     raws = F.regexp_extract_all(c, F.lit(V.CITATION_PATTERN), F.lit(0))
-    gaps = F.split(c, V.CITATION_PATTERN, -1)
-    steps = F.zip_with(raws, gaps, lambda r, g: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
-
-    def build(raw: Column, i: Column) -> Column:
-        tail = F.regexp_extract(raw, V.CITATION_PATTERN, 3)
-        year = found(tail, V.YEAR_PATTERN).cast("int")
-        part = found(tail, V.PART_PATTERN)
-        dash = found(tail, r"^\s*[-–]\s*(\d{1,2})\b")
-        end = F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)
-        return F.struct(
-            raw.alias("raw"), F.regexp_extract(raw, V.CITATION_PATTERN, 2).alias("base"),
-            F.when(part.isNull() & year.isNull(), dash).otherwise(part).alias("part"),
-            found(tail, V.SECTION_PATTERN).alias("section"), year.alias("year"),
-            (end - F.length(raw)).alias("start"), end.alias("end"))
-
-    return F.transform(raws, build)
-
-
-def extract_citations(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per citation: (key, pos, raw, base, part, section, year, start, end)."""
-    found_rows = docs.select(key, F.posexplode(citation_array(text)).alias("pos", "c"))
-    return found_rows.select(key, "pos", "c.*")
+    cut = docs.select(key, raws.alias("_raws"), F.split(c, V.CITATION_PATTERN, -1).alias("_gaps"))
+    steps = F.zip_with("_raws", "_gaps", lambda r, g: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
+    sized = cut.filter(F.size("_raws") > 0).select(key, "_raws", steps.alias("_steps"))
+    spans = F.transform("_raws", lambda raw, i: F.struct(
+        raw.alias("raw"), F.aggregate(F.slice("_steps", F.lit(1), i + 1), F.lit(0), lambda a, n: a + n).alias("end")))
+    rows = sized.select(key, F.posexplode(spans).alias("pos", "_c")).select(
+        key, "pos", "_c.raw", (F.col("_c.end") - F.length("_c.raw")).alias("start"), "_c.end")
+    tail = F.regexp_extract("raw", V.CITATION_PATTERN, 3)
+    rows = rows.withColumn("_tail", tail)
+    year = found("_tail", V.YEAR_PATTERN).cast("int")
+    marked = found("_tail", V.PART_PATTERN)
+    dash = F.when(year.isNull(), found("_tail", r"^\s*[-–]\s*(\d{1,2})\b"))
+    return rows.select(
+        key, "pos", "raw", F.regexp_extract("raw", V.CITATION_PATTERN, 2).alias("base"),
+        F.coalesce(marked, dash).alias("part"), found("_tail", V.SECTION_PATTERN).alias("section"),
+        year.alias("year"), "start", "end")
 
 
 def line_items(docs: DataFrame, key: str, text: str, min_chars: int = 4) -> DataFrame:

@@ -1,6 +1,8 @@
 from specloom.plans import (  # noqa: F401  (importing registers the queries)
     q_retrieval,
+    q_audit,
     q_corpus,
+    q_graph,
     q_text,
 )
 from specloom.plans.registry import ORACLE, QUERIES
