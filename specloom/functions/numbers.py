@@ -127,18 +127,17 @@ def line_items(docs: DataFrame, key: str, text: str, min_chars: int = 4) -> Data
     """One row per line item: (key, line, item, start, end); the bullet is left out of text and span."""
     breaks = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
     c = F.col(text)
-    lines = F.split(c, breaks, -1)
-    seps = F.regexp_extract_all(c, F.lit(f"({breaks})"), F.lit(1))
-    widths = F.zip_with(lines, seps, lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
-
-    def build(line: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(widths, F.lit(1), i), F.lit(0), lambda a, n: a + n)
-        stripped = F.regexp_replace(line, r"^\s+|\s+$", "")
-        item = F.regexp_replace(F.regexp_replace(stripped, V.BULLET_PREFIX, ""), r"^\s+|\s+$", "")
-        return F.struct(i.alias("line"), item.alias("item"), (before + F.instr(line, item) - 1).alias("start"))
-
-    rows = docs.select(key, F.explode(F.filter(F.transform(lines, build), lambda s: F.length(s["item"]) >= min_chars)).alias("s"))
-    return rows.select(key, "s.line", "s.item", "s.start", (F.col("s.start") + F.length("s.item")).alias("end"))
+    cut = docs.select(key, F.split(c, breaks, -1).alias("_lines"), F.regexp_extract_all(c, F.lit(f"({breaks})"), F.lit(1)).alias("_seps"))
+    widths = F.zip_with("_lines", "_seps", lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
+    sized = cut.select(key, "_lines", widths.alias("_w"))
+    placed = F.transform("_lines", lambda line, i: F.struct(
+        line.alias("raw"), F.aggregate(F.slice("_w", F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("before")))
+    rows = sized.select(key, F.posexplode(placed).alias("line", "_s")).select(key, "line", "_s.raw", "_s.before")
+    edge = r"^\s+|\s+$"
+    item = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", edge, ""), V.BULLET_PREFIX, ""), edge, "")
+    rows = rows.withColumn("item", item).filter(F.length("item") >= min_chars)
+    start = F.col("before") + F.instr("raw", F.col("item")) - 1
+    return rows.select(key, "line", "item", start.alias("start"), (start + F.length("item")).alias("end"))
 
 
 def item_id_fields(col) -> Column:

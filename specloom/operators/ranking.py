@@ -87,3 +87,13 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str
 
 def distinct_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A table scan with at least one partition per core, for text work that costs far more than a row.
+
+    A scan that is already split into enough tasks (any large table) is returned as it is; only a
+    table stored in fewer row groups than there are cores is hashed over them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

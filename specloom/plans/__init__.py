@@ -4,6 +4,7 @@ from specloom.plans import (  # noqa: F401  (importing registers the queries)
     q_corpus,
     q_feedback,
     q_graph,
+    q_stream,
     q_tables,
     q_text,
 )

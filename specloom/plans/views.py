@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specloom.operators.ranking import spread
 from specloom.plans.registry import Tables
 
 
@@ -29,7 +30,7 @@ BENCH = """bq AS (SELECT item_id AS query, text, CASE WHEN length(text) < 180 TH
 
 def doc_corpus(t: Tables) -> DataFrame:
     """(doc, text, source, lang, status, family)."""
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         F.col("doc_id").alias("doc"), "text", "source", "lang",
         F.when(F.col("doc_id") % 7 == 0, "superseded").otherwise("active").alias("status"),
         F.concat(F.lit("F"), F.col("doc_id") % 5).alias("family"))
@@ -49,7 +50,7 @@ def qrels(t: Tables) -> DataFrame:
     n = 8
     first = F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " ")
     q = t.benchmark.select(F.col("item_id").alias("query"), "text", F.xxhash64(first).alias("run"))
-    ws = t.documents.select("doc_id", F.split("text", r"\s+").alias("ws"))
+    ws = spread(t.documents, "doc_id").select("doc_id", F.split("text", r"\s+").alias("ws"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1))),
                        lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " ")))
     d = ws.select("doc_id", F.explode(runs).alias("run"))
@@ -143,7 +144,8 @@ EDGE = """edge AS (SELECT DISTINCT concat('S', a.l_partkey) AS source_id, concat
 
 def drafts(t: Tables) -> DataFrame:
     """(doc, text): one four-line purchase draft per order line, citing up to three numbers."""
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
+    li = spread(t.lineitem, "l_orderkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_size")
     j = li.join(p, "l_partkey")
     doc = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
