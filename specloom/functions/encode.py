@@ -15,7 +15,7 @@ def hashing_encoder(df: DataFrame, key: str, text: str, dim: int = 64, variant:
     """(key, vec): unit-length token counts hashed into ``dim`` buckets; all zeros for no tokens."""
     bucket = F.conv(F.substring(F.md5("token"), 1, 4), 16, 10).cast("int") % dim
     counts = (
-        df.select(key, F.explode(tokens(text, variant)).alias("token"))
+        df.select(key, F.explode_outer(tokens(text, variant)).alias("token")).filter(F.col("token").isNotNull())
         .groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     packed = counts.groupBy(key).agg(

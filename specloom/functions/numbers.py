@@ -107,10 +107,11 @@ def extract_citations(docs: DataFrame, key: str, text: str) -> DataFrame:
     raws = F.regexp_extract_all(c, F.lit(V.CITATION_PATTERN), F.lit(0))
     cut = docs.select(key, raws.alias("_raws"), F.split(c, V.CITATION_PATTERN, -1).alias("_gaps"))
     steps = F.zip_with("_raws", "_gaps", lambda r, g: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
-    sized = cut.filter(F.size("_raws") > 0).select(key, "_raws", steps.alias("_steps"))
+    sized = cut.select(key, "_raws", steps.alias("_steps"))
     spans = F.transform("_raws", lambda raw, i: F.struct(
         raw.alias("raw"), F.aggregate(F.slice("_steps", F.lit(1), i + 1), F.lit(0), lambda a, n: a + n).alias("end")))
-    rows = sized.select(key, F.posexplode(spans).alias("pos", "_c")).select(
+    # the outer form keeps the optimizer from repeating the pattern in an inferred filter
+    rows = sized.select(key, F.posexplode_outer(spans).alias("pos", "_c")).filter(F.col("pos").isNotNull()).select(
         key, "pos", "_c.raw", (F.col("_c.end") - F.length("_c.raw")).alias("start"), "_c.end")
     tail = F.regexp_extract("raw", V.CITATION_PATTERN, 3)
     rows = rows.withColumn("_tail", tail)
@@ -132,7 +133,8 @@ def line_items(docs: DataFrame, key: str, text: str, min_chars: int = 4) -> Data
     sized = cut.select(key, "_lines", widths.alias("_w"))
     placed = F.transform("_lines", lambda line, i: F.struct(
         line.alias("raw"), F.aggregate(F.slice("_w", F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("before")))
-    rows = sized.select(key, F.posexplode(placed).alias("line", "_s")).select(key, "line", "_s.raw", "_s.before")
+    rows = sized.select(key, F.posexplode_outer(placed).alias("line", "_s")).filter(F.col("line").isNotNull()).select(
+        key, "line", "_s.raw", "_s.before")
     edge = r"^\s+|\s+$"
     item = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", edge, ""), V.BULLET_PREFIX, ""), edge, "")
     rows = rows.withColumn("item", item).filter(F.length("item") >= min_chars)

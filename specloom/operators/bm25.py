@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from specloom.functions import vocab as V
 from specloom.functions.text import tokens
 from specloom.operators.ranking import salted_join, topk
+from specloom.session import cut_lineage
 
 
 @dataclass
@@ -34,18 +35,18 @@ class Bm25Index:
 
 
 def build_bm25(docs: DataFrame, key: str, text: str, variant: str = "alnum") -> Bm25Index:
-    """Index a corpus.
+    """Index a corpus: one pass over the text, written once and read by every later step.
 
     Token counting combines inside the map task (all tokens of a document are in one row), so the
-    shuffle carries postings, not tokens.
+    shuffle carries postings, not tokens. Totals come from document counts and stored postings.
+    ``explode_outer`` keeps the optimizer from repeating the tokeniser in an inferred filter.
     """
-    tokenised = docs.select(F.col(key).alias("doc"), tokens(text, variant).alias("_tokens"))
-    sized = tokenised.withColumn("dl", F.size("_tokens").cast("bigint"))
-    postings = (
-        sized.select("doc", "dl", F.explode("_tokens").alias("term"))
-        .groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    sized = docs.select(F.col(key).alias("doc"), tokens(text, variant).alias("_tokens")).withColumn("dl", F.size("_tokens").cast("bigint"))
+    terms = sized.select("doc", "dl", F.explode_outer("_tokens").alias("term")).filter(F.col("term").isNotNull())
+    postings = cut_lineage(terms.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    n = docs.select(key).agg(F.count(F.lit(1)).alias("n"))
+    length = postings.agg(F.sum("tf").alias("length")).select("length").scalar()
+    totals = n.select("n", (F.coalesce(length, F.lit(0)) / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
     return Bm25Index(postings, term_stats(postings, totals), totals, variant)
 
 

@@ -53,7 +53,7 @@ def qrels(t: Tables) -> DataFrame:
     ws = spread(t.documents, "doc_id").select("doc_id", F.split("text", r"\s+").alias("ws"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1))),
                        lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " ")))
-    d = ws.select("doc_id", F.explode(runs).alias("run"))
+    d = ws.select("doc_id", F.explode_outer(runs).alias("run"))
     pairs = d.join(q.select("query", "run"), "run").select("query", "doc_id").distinct()
     checked = pairs.join(q.select("query", "text"), "query").join(
         t.documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")

@@ -24,7 +24,7 @@ def cell_text(cell: Column) -> Column:
 def table_rows(pages: DataFrame, key: str, html: str, min_cells: int = 4) -> DataFrame:
     """(key, row, cells): table rows as arrays of non-empty cell texts; short rows are dropped."""
     rows = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    exploded = pages.select(key, F.posexplode(rows).alias("row", "tr"))
+    exploded = pages.select(key, F.posexplode_outer(rows).alias("row", "tr"))
     cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), cell_text)
     return exploded.select(key, "row", F.filter(cells, lambda c: c != "").alias("cells")).filter(F.size("cells") >= min_cells)
 
