@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,34 +84,43 @@ def pair_similarity(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> Da
     return pairs.join(q, "query").join(d, "doc").withColumn("similarity", dot("_q", "_d")).drop("_q", "_d")
 
 
-def similarity_rank(pairs: DataFrame, queries: DataFrame, docs: DataFrame, block_rows: int = 20_000) -> DataFrame:
+def similarity_rank(pairs: DataFrame, queries: DataFrame, docs: DataFrame, block_rows: int = 20_000,
+                    pair_rows: int = 500_000) -> DataFrame:
     """Exact full-corpus rank of given (query, doc, similarity) rows, by counting better documents
-    block by block. Both the pairs and the documents are cut into bounded blocks."""
-    p, d = _cut(pairs.count(), block_rows), _cut(docs.count(), block_rows)
-    probes = pairs.select("query", "doc", "similarity").join(queries.select("query", "vec"), "query")
-    left = _tile(probes, "_pb", p, "_db", d, "query", "doc")
+    block by block.
+
+    Pairs are hashed by (query, doc) into blocks, so a query with very many pairs is spread too.
+    A pair row carries no vector: each block gets every query's vector once, next to its pairs.
+    """
+    p, d = _cut(pairs.count(), pair_rows), _cut(docs.count(), block_rows)
+    probes = _tile(pairs.select("query", "doc", "similarity"), "_pb", p, "_db", d, "query", "doc")
+    asked = queries.select("query", "vec").join(pairs.select("query").distinct(), "query", "left_semi")
+    every = F.sequence(F.lit(0), F.lit(p - 1))
+    asked = _tile(asked, "_x", 1, "_db", d, "query").drop("_x").withColumn("_pb", F.explode(every))
+    left = probes.unionByName(asked, allowMissingColumns=True)
     right = _tile(docs.select("doc", "vec"), "_db", d, "_pb", p, "doc")
     schema = T.StructType([pairs.schema["query"], pairs.schema["doc"], T.StructField("better", T.LongType())])
 
     def block(q: pa.Table, x: pa.Table) -> pa.Table:
-        n = q.num_rows
-        better = np.zeros(n, dtype=np.int64)
-        if n and x.num_rows:
+        is_query = pc.is_valid(q["vec"])
+        asked_rows, pair_table = q.filter(is_query), q.filter(pc.invert(is_query))
+        better = np.zeros(pair_table.num_rows, dtype=np.int64)
+        if pair_table.num_rows and x.num_rows:
             docs_m, doc_ids = _matrix(x["vec"]), _ids(x["doc"])
-            qid, pid = _ids(q["query"]), _ids(q["doc"])
-            sim = np.array(q["similarity"].to_pylist())
-            vec = _matrix(q["vec"])
-            for one in np.unique(qid):
-                at = np.nonzero(qid == one)[0]
-                s = np.round(docs_m @ vec[at[0]], DIGITS) + 0.0
+            vectors = dict(zip(asked_rows["query"].to_pylist(), _matrix(asked_rows["vec"])))
+            qid, pid = _ids(pair_table["query"]), _ids(pair_table["doc"])
+            sim = np.array(pair_table["similarity"].to_pylist())
+            by_query = np.argsort(qid, kind="stable")
+            names, starts = np.unique(qid[by_query], return_index=True)
+            for name, at in zip(names.tolist(), np.split(by_query, starts[1:])):
+                s = np.round(docs_m @ vectors[name], DIGITS) + 0.0
                 order = np.lexsort((doc_ids, -s))
                 falling, ids = -s[order], doc_ids[order]
                 lo = np.searchsorted(falling, -sim[at], "left")
                 hi = np.searchsorted(falling, -sim[at], "right")
                 for i, a, b in zip(at, lo, hi):
                     better[i] = a + np.searchsorted(ids[a:b], pid[i])
-        return pa.table({"query": q["query"], "doc": q["doc"], "better": better},
-                        schema=_arrow(T.StructType([*schema.fields[:2], T.StructField("better", T.LongType())])))
+        return pa.table({"query": pair_table["query"], "doc": pair_table["doc"], "better": better}, schema=_arrow(schema))
 
     counted = left.groupBy("_pb", "_db").cogroup(right.groupBy("_pb", "_db")).applyInArrow(block, schema)
     ranks = counted.groupBy("query", "doc").agg((F.sum("better") + 1).alias("semantic_rank"))

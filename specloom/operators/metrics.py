@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +48,12 @@ def ndcg_metrics(queries: DataFrame, hits: DataFrame, gold: DataFrame, ks=(1, 5)
 def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
     """P@1 of two runs over (query, hit), the standard error of their difference, and whether the
     gap is within two standard errors."""
-    sides = [r.agg(F.avg(F.col("hit").cast("double")).alias(f"p_{s}"), F.count(F.lit(1)).alias(f"n_{s}"))
-             .withColumn("_k", F.lit(1)) for r, s in ((a, "a"), (b, "b"))]
-    both = reduce(lambda x, y: x.join(y, "_k"), sides).drop("_k")
+    rows = a.select(F.lit("a").alias("_s"), "hit").unionByName(b.select(F.lit("b").alias("_s"), "hit"))
+    aggs = []
+    for s in "ab":
+        mine = F.col("_s") == s
+        aggs += [F.avg(F.when(mine, F.col("hit").cast("double"))).alias(f"p_{s}"), F.count_if(mine).alias(f"n_{s}")]
+    both = rows.agg(*aggs)
     var = [F.col(f"p_{s}") * (1 - F.col(f"p_{s}")) / F.col(f"n_{s}") for s in "ab"]
     se = F.sqrt(var[0] + var[1])
     gap = F.col("p_a") - F.col("p_b")

@@ -212,3 +212,25 @@ def _(t: Tables):
 def _(t: Tables):
     data = labelled(t)
     return L.feature_contributions(L.train_ranker(data), data)
+
+
+@query("full_retrieval", W.cte(*BM25_TOP, *DENSE_TOP) + """, fu AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT query, doc, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query, doc, rank FROM sparse UNION ALL SELECT query, doc, rank FROM den) GROUP BY query, doc)),
+ c0 AS (SELECT f.query, f.doc, coalesce(d.similarity, 0) AS dn, coalesce(s.score, 0) AS bm, CASE WHEN f.rank <= 10 THEN m.similarity ELSE -10 END AS ce FROM fu f LEFT JOIN den d USING (query, doc) LEFT JOIN sparse s USING (query, doc) JOIN sims m USING (query, doc) WHERE f.rank <= 20),
+ c1 AS (SELECT *, min(bm) OVER (PARTITION BY query) AS lo0, max(bm) OVER (PARTITION BY query) AS hi0 FROM c0),
+ c2 AS (SELECT query, doc, ce, 0.3 * dn + 0.2 * CASE WHEN hi0 - lo0 > 1e-6 THEN (bm - lo0) / (hi0 - lo0 + 1e-6) ELSE 0.5 END + 0.5 * ce AS score, status, family FROM c1 JOIN dc USING (doc)),
+ b0 AS (SELECT *, min(score) OVER (PARTITION BY query) AS lo, max(score) OVER (PARTITION BY query) AS hi FROM c2), b1 AS (SELECT *, CASE WHEN lo < 0 THEN -lo + 0.01 ELSE 0 END AS shift FROM b0),
+ b2 AS (SELECT *, round((score + shift) * CASE WHEN hi + shift > 1 THEN 1.0 / (hi + shift) ELSE 1 END, 12) AS orig FROM b1),
+ ld AS (SELECT * FROM (SELECT query, family, doc AS leader, orig AS ls, row_number() OVER (PARTITION BY query, family ORDER BY orig DESC, doc) AS r FROM b2 WHERE status = 'active') WHERE r = 1),
+ b3 AS (SELECT b.*, CASE WHEN status = 'superseded' THEN leader END AS sb, CASE WHEN status = 'superseded' AND leader IS NOT NULL THEN greatest(0, least(orig - 2.0, greatest(0, ls - 0.1))) ELSE orig END AS ps FROM b2 b LEFT JOIN ld l ON l.query = b.query AND l.family = b.family),
+ b4 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ps DESC, orig DESC, doc) AS fr FROM b3)
+ SELECT a.query, a.doc, a.fr AS final_rank, round(greatest(0, least(1, round(a.ps, 4))), 4) AS final_score, a.sb AS superseded_by, CASE WHEN z.ce >= 0 THEN 'strong' WHEN z.ce <= -6 THEN 'none' ELSE 'uncertain' END AS level FROM b4 a JOIN b4 z ON z.query = a.query AND z.fr = 1 WHERE a.fr <= 10""")
+def _(t: Tables):
+    from specloom.operators.bm25 import build_bm25
+    from specloom.plans.q_retrieval import text_vectors
+    from specloom.plans.search import SearchConfig, retrieve
+    d = W.doc_corpus(t)
+    corpus = d.select("doc", "status", "family").join(corpus_features(t), "doc")
+    rates = t.labels.select(F.col("doc_id").alias("doc"), (F.col("quality") / 2.0).alias("rate"))
+    qv, dv = text_vectors(t)
+    out = retrieve(W.bench_queries(t), qv, dv, build_bm25(d, "doc", "text"), corpus, rates, SearchConfig(year=2019))
+    return out.select("query", "doc", "final_rank", "final_score", "superseded_by", "level")

@@ -292,11 +292,6 @@ def _(t: Tables):
     writers.rebuild_indexes(W.doc_corpus(t), W.edges(t), W.vectors(t), path)
     ix = Bm25Index.read(t.spark, f"{path}/bm25", "stop")
 
-    def n(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name)).withColumn("k", F.lit(1))
-
-    frames = [n(ix.postings, "postings"), n(ix.terms, "terms"), n(t.spark.read.parquet(f"{path}/edges"), "edges"), n(t.spark.read.parquet(f"{path}/vectors"), "vectors")]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.join(f, "k")
-    return out.drop("k")
+    counts = R.entity_counts({"postings": ix.postings, "terms": ix.terms, "edges": t.spark.read.parquet(f"{path}/edges"),
+                              "vectors": t.spark.read.parquet(f"{path}/vectors")})
+    return counts.agg(*[F.max(F.when(F.col("entity") == e, F.col("n"))).alias(e) for e in ("postings", "terms", "edges", "vectors")])

@@ -121,3 +121,12 @@ def test_scores(one):
     assert one(S.category_match("q", F.lit("none such")), q="pipe") == 0.5
     assert one(S.certification_status(F.lit(None), F.lit(None), F.lit(None))) == "unknown"
     assert one(S.confidence_band("s", F.lit("low")), s=0.9) == "medium"
+
+
+def test_pluggable_models(spark):
+    from specloom.functions.encode import encoder_udf, pair_scorer_udf
+    df = spark.createDataFrame([("ab", "abc"), (None, "x")], ["q", "d"])
+    vec = encoder_udf(lambda: lambda texts: [[float(len(x)), 1.0] for x in texts])
+    score = pair_scorer_udf(lambda: lambda qs, ds: [float(len(q) + len(d)) for q, d in zip(qs, ds)])
+    rows = df.select(vec("q").alias("v"), score("q", "d").alias("s")).collect()
+    assert [(r.v, r.s) for r in rows] == [([2.0, 1.0], 5.0), ([0.0, 1.0], 1.0)]
