@@ -129,9 +129,7 @@ def _lexical_rank(pool: DataFrame, lexical: DataFrame, corpus: DataFrame) -> Dat
     order = exact_rank(corpus.select("doc"), [], ["doc"], "_position")
     wanted = by_doc.join(pool.select("query", "doc"), ["query", "doc"], "left_semi")
     probes = wanted.filter(F.col("_probe") == 1).select("query", "doc")
-    # bounded: one row per pooled pair of the query
-    earlier = Window.partitionBy("query").orderBy("doc")
-    probes = probes.withColumn("_earlier", F.row_number().over(earlier) - 1)
+    probes = exact_rank(probes, ["query"], ["doc"], "_nth").select("query", "doc", (F.col("_nth") - 1).alias("_earlier"))
     full = (wanted.join(probes, ["query", "doc"], "left").join(order, "doc").join(per_query, "query", "left")
             .fillna(0, ["_pos", "_scored"]))
     scored_before = F.col("_by_doc") - 1 - F.col("_earlier")

@@ -14,6 +14,7 @@ from specloom.functions import scoring as S
 from specloom.operators.feedback import kfold
 from specloom.operators.metrics import OVERALL, ndcg_metrics
 from specloom.operators.ranking import minmax, topk
+from specloom.session import cut_lineage
 
 FEATURES = ["dense_score", "bm25_score_normalized", "cross_encoder_score", "recency_score", "category_match",
             "keyword_overlap", "historical_acceptance_rate"]
@@ -82,7 +83,7 @@ def feature_contributions(model, df: DataFrame, features: list[str] = FEATURES)
 
 def cross_validate(labelled: DataFrame, k: int, seed: int = 42, kind: str = "linear") -> DataFrame:
     """(fold, ndcg_5) with whole queries held out; one distributed fit per fold."""
-    folds = kfold(labelled, "query", k, seed).cache()
+    folds = cut_lineage(kfold(labelled, "query", k, seed))
     out = []
     for i in range(k):
         model = train_ranker(folds.filter(F.col("fold") != i), kind)
