@@ -119,13 +119,13 @@ def fit_rates(table: DataFrame, targets: list[float], steps: int = 60, tolerance
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, buckets: int = 8192,
-        steps: int = 60, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
+        steps: int = 60, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> tuple[DataFrame, list[str]]:
     """``docs`` with n_tokens, posteriors and rate, and the domains' names in the order of the posteriors.
 
     ``weights``: share of tokens of each domain (missing domains 0; scaled to sum 1). ``growth``: tokens of the mixture over those of
     ``docs``. Texts without words have the priors and no weight in the fit. Null texts are
     empty; a null id is never labelled; repeated rows count each; an empty table gives an empty result;
-    other columns stay, clashing ones are replaced. The scored rows are written once and read for each step.
+    other columns stay (the text only ``with_text``), clashing ones are replaced. The scored rows are written once and read for each step.
     """
     weights = TARGETS if weights is None else weights
     model = fit_domains(docs, labelled, buckets, doc_id, text)
@@ -133,6 +133,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     plain = docs.drop("n_tokens", "posteriors", "rate")
     path = shared_path(docs.sparkSession, "mix")
     scored = with_posteriors(plain, model, text)
+    scored = scored if with_text else scored.drop(text)
     scored.write.parquet(path)
     table = docs.sparkSession.read.schema(scored.schema).parquet(path)
     tokens = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]

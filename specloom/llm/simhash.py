@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, cut, slices
+from specloom.llm.common import components, cut, row_key, slices
 
 #: Generator polynomials of the Golay code [23, 12] and of the Hamming code [15, 11].
 GOLAY, HAMMING = 0b101011100011, 0b10011
@@ -57,14 +57,14 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp long): whole texts; null text is empty."""
+    """(doc_id, key, fp long): whole texts; null text is empty; ``key`` is the row's ``row_key``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
-            prints = np.array([fingerprint(t.as_py(), size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            prints = np.array([fingerprint(t.as_py(), size) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 @cache
@@ -174,31 +174,42 @@ def near_pairs(prints: DataFrame, most_bits: int = 3) -> DataFrame:
     return pairs.select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def group_rows(docs: DataFrame, most_bits: int = 3, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, key, fp, least): each row with the first row of its group as struct (nameless, doc_id, key): rows with an
+    id before those without, then by id, then by key."""
+    marked = cut(with_fingerprints(docs, doc_id, text, size))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
+    nodes = cut(marked.groupBy("fp").agg(F.min(own).alias("low")))
+    links = near_pairs(nodes.select("fp"), most_bits)
+    found = cut(components(links))
+    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("low").alias("least"))
+    known = rooted.join(least, "root").select(F.col("fp").alias("node"), "least")
+    return marked.join(known, marked["fp"] == known["node"]).select("doc_id", "key", "fp", "least")
+
+
 def simhash_groups(docs: DataFrame, most_bits: int = 3, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     Documents of one fingerprint are one node; component_id is the smallest doc_id reachable over
     pairs of at most ``most_bits`` differing bits. Null and empty texts have fingerprint zero and link like any
-    other. A null doc_id keeps its row and is never the smallest unless it stands alone (then null). Repeated
+    other. A null doc_id keeps its row and is never the smallest, unless a group has none else (then null). Repeated
     rows stay; an empty table gives no rows; extra columns are left out.
     """
-    marked = cut(with_fingerprints(docs, doc_id, text, size))
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    links = near_pairs(nodes.select("fp"), most_bits)
-    found = cut(components(links))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = rooted.join(least, "root").select(F.col("fp").alias("node"), "component_id")
-    joined = marked.join(known, marked["fp"] == known["node"])
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = group_rows(docs, most_bits, size, doc_id, text)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, most_bits: int = 3, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Keep of each group the row with the smallest doc_id; of rows that repeat an id, the first by text.
-    Rows without an id have no group to be the smallest of and stay.
-    All columns stay. The ids to keep are as many as groups, so they are joined, not collected."""
-    groups = simhash_groups(docs, most_bits, size, doc_id, text)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[doc_id].cast("long") == keep["_keep"]).select(*[docs[c] for c in docs.columns])
-    first = kept.groupBy(doc_id).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.coalesce(F.col(text), F.lit("")))).alias("_row"))
-    return first.select("_row.*").unionByName(docs.where(F.col(doc_id).isNull()))
+    """Keep of each group the row with the smallest doc_id; of rows that repeat an id, the one with the smallest key;
+    of rows that repeat both, one. All columns stay. The keys to drop are joined, not collected."""
+    rows = cut(group_rows(docs, most_bits, size, doc_id, text).select("key", (F.col("key") == F.col("least.key")).alias("first")))
+    keys = rows.groupBy("key").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = cut(keys.where(~F.col("first") | (F.col("n") > 1)).select(F.col("key").alias("_gone")))
+    again = cut(keys.where(F.col("first") & (F.col("n") > 1)).select(F.col("key").alias("_again")))
+    keyed = docs.withColumn("_key", row_key(doc_id, text))
+    kept = keyed.join(gone, keyed["_key"] == gone["_gone"], "left_anti").drop("_key")
+    if again.limit(1).count():
+        once = keyed.join(again, keyed["_key"] == again["_again"], "left_semi").dropDuplicates(["_key"]).drop("_key")
+        kept = kept.unionByName(once)
+    return kept
