@@ -239,7 +239,7 @@ def fit(classes: DataFrame, share: np.ndarray, states: int, warm_rounds: int, wa
 
 
 def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, states: int = 8, frequent: int = 2000, hashed: int = 512,
-               warm_rounds: int = 12, warm_docs: int = 2000, rounds: int = 2, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               warm_rounds: int = 10, warm_docs: int = 1000, rounds: int = 2, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every whole text; learn from the documents outside fold ``held``.
 
     Rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null and empty texts hold the end

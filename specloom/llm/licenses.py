@@ -1,6 +1,6 @@
 """License scan by diagonal voting, in DataFrame functions only.
 
-All word k-grams of a text (k = 2 and 3) are joined to the template positions that hold the same k-gram. A hit votes
+All word pairs of a text (k-grams with k = 2) are joined to the template positions that hold the same pair. A hit votes
 for the diagonal (position in the text less position in the template). Votes are summed by diagonal, diagonals next
 to each other are merged (words put in or left out shift the diagonal), and a merged span is verified: it must cover
 enough of the template's k-grams, and a short phrase all of them, that is, its words stand consecutively.
@@ -33,49 +33,48 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SENTINEL = "\u0000"
+SENTINEL = ""
+#: Pairs of two of these words stand in any English text; they are no evidence and a notice does not list them.
+COMMON = frozenset("a an and any are at be by for from in is it may not of on or that the this to under was with you".split())
 
 
-def license_words(text: Column) -> Column:
-    """Words of the text with A-Z lower-cased: ASCII letters and digits, and everything above ASCII.
+def license_text(text: Column) -> Column:
+    """Words of the text with A-Z lower-cased, joined by single spaces: ASCII letters and digits, and all above ASCII.
 
-    ``lower`` also changes letters above ASCII, which no template holds; the two that it makes ASCII are kept
-    apart by ``translate``.
+    ``lower`` also changes letters above ASCII, which no template holds; texts with one of the two that it makes ASCII
+    go through ``translate``.
     """
     text = F.coalesce(text, F.lit(""))
-    low = F.when(text.rlike("[İK]"), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
-    return F.filter(F.split(low, SEPARATORS), lambda w: w != "")
+    odd = text.contains("\u0130") | text.contains("\u212a")
+    low = F.when(odd, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
+    return F.trim(F.regexp_replace(low, SEPARATORS, " "))
 
 
 def template_table(spark: SparkSession, phrases: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
-    """(template, label, base, wanted, gram, at): a row for each k-gram of each template, k = min(3, words)."""
+    """(template, label, base, wanted, gram, at): a row for each word pair of each template."""
     rows = []
     for base, texts in ((True, PHRASES if phrases is None else phrases), (False, NOTICES if notices is None else notices)):
         for text, label in texts.items():
             words = text.split(" ")
             if len(words) < 2:
                 raise ValueError("a template has two words at least")
-            k = min(3, len(words))
-            rows += [(text, label, base, len(words) - k + 1, " ".join(words[i:i + k]), i) for i in range(len(words) - k + 1)]
+            pairs = [(" ".join(words[i:i + 2]), i) for i in range(len(words) - 1) if base or not COMMON.issuperset(words[i:i + 2])]
+            rows += [(text, label, base, len(pairs), gram, i) for gram, i in pairs]
     return spark.createDataFrame(rows, "template string, label string, base boolean, wanted int, gram string, at int")
 
 
 def scan_hits(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, key, n_words, pos, template columns): all k-gram hits, and for each row of ``docs`` one row with the sentinel gram."""
-    words = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), license_words(F.col(text)).alias("w"))
-    n = F.size("w")
-    two = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i))))
-    three = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i), F.get("w", i + 1))))
-    none = F.array().cast("array<string>")
-    grams = F.concat(F.array(F.lit(SENTINEL)), F.coalesce(two, none), F.coalesce(three, none))
-    rows = words.select("doc_id", "key", n.cast("long").alias("n_words"), F.posexplode(grams).alias("p", "gram"))
+    """(doc_id, key, n_words, pos, template columns): all hits of word pairs, and for each row of ``docs`` one row with the
+    sentinel gram. Pairs overlap: the pattern consumes one word's border and looks ahead over two words."""
+    norm = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), license_text(F.col(text)).alias("w"))
+    pairs = norm.select("doc_id", "key", (F.col("w") == "").alias("none"), F.regexp_extract_all("w", F.lit("(?:^| )(?=([^ ]+ [^ ]+))"), F.lit(1)).alias("pairs"))
+    sized = pairs.select("doc_id", "key", F.when(F.col("none"), 0).otherwise(F.size("pairs") + 1).cast("long").alias("n_words"), F.concat(F.array(F.lit(SENTINEL)), "pairs").alias("grams"))
+    rows = sized.select("doc_id", "key", "n_words", F.posexplode("grams").alias("p", "gram"))
     mark = docs.sparkSession.createDataFrame([("", "", True, 0, SENTINEL, 0)], templates.schema)
-    # place 0 is the sentinel, then n - 1 pairs, then n - 2 triples
-    pos = F.when(F.col("p") < F.col("n_words"), F.col("p") - 1).otherwise(F.col("p") - F.col("n_words")).cast("long")
-    return rows.join(templates.unionByName(mark), "gram").select("doc_id", "key", "n_words", pos.alias("pos"), "template", "label", "base", "wanted", "at")
+    return rows.join(templates.unionByName(mark), "gram").select("doc_id", "key", "n_words", (F.col("p") - 1).cast("long").alias("pos"), "template", "label", "base", "wanted", "at")
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: float = 0.6, slack: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: float = 0.85, slack: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` lists what was verified (label, first word, last word, coverage). n_base counts every place of every
@@ -92,7 +91,7 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: fl
     diagonals = diagonals.withColumn("times", F.max(F.when(F.col("template") == "", F.col("votes"))).over(rows_of))
     near = Window.partitionBy("doc_id", "key", "template").orderBy("first", "diagonal")
     starts = (F.col("diagonal") - F.lag("diagonal").over(near) > slack) | (F.lag("diagonal").over(near) - F.col("diagonal") > slack) | (F.col("first") - F.lag("last").over(near) > slack + 3)
-    exact = F.col("base")
+    exact = F.col("base")  # each diagonal of a phrase is one place, so these are not merged
     spans = diagonals.withColumn("island", F.sum(F.when(exact | F.coalesce(starts, F.lit(True)), 1).otherwise(0)).over(near.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy("doc_id", "key", "n_words", "template", "label", "base", "wanted", "times", "island").agg(
         (F.sum("votes") / F.max("times")).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))

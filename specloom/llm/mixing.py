@@ -1,6 +1,6 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
-A multinomial naive Bayes classifier, counted from a labelled table, gives every document posteriors over domains. Then
+A Bernoulli naive Bayes classifier, counted from a labelled table, gives every document posteriors over domains. Then
 nonnegative rates (expected copies of a document) are found whose expected tokens per domain match the targets:
 least squares by projected gradient. A gradient needs only the residual of each domain, so a step is one aggregation
 over a narrow table, and the driver holds one number per domain and step.
@@ -8,6 +8,9 @@ over a narrow table, and the driver holds one number per domain and step.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,60 +27,66 @@ def domain_of_labels() -> Column:
 
 
 def mix_words(text: Column) -> Column:
-    """Runs of letters and marks between white space and ASCII signs, lower-cased."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """Runs between white space and sentence marks, lower-cased; the first and last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,;:!?\"'()]+")
 
 
-def bucket(word: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
+@dataclass
+class DomainModel:
+    domains: list[str]
+    words: list[str]
+    base: list[float]  # for each domain the log of its share and of all words being absent
+    present: list[list[float]]  # for each word and domain what its presence adds
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 8192, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[float], list[list[float]]]:
-    """Naive Bayes over hashed words from the rows of ``docs`` that ``labelled`` (doc_id, domain) names:
-    (domains, log priors, for each bucket the log weight of each domain). All labelled documents are counted; the model is buckets x
-    domains numbers. A bucket's weight is damped to what its counts support. No labelled row: one domain, ``none``.
+def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = 20_000, words: int = 256, doc_id: str = "doc_id", text: str = "text", seed: int = 11) -> DomainModel:
+    """Naive Bayes on the presence of telling words, learned from at most ``rows`` rows of ``labelled`` (doc_id, domain), those
+    with the smallest hash. The ``words`` words of most evidence make the model, so it has words x domains numbers.
+    Without labelled documents there is one domain, ``none``.
     """
-    known = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "domain").distinct()
-    rows = docs.join(known, docs[doc_id] == known["_id"]).select("domain", mix_words(F.col(text)).alias("w"))
-    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), "domain").distinct()
+    drawn = cut(drawn.orderBy(F.xxhash64("_id", "domain", F.lit(seed)), "_id", "domain").limit(rows))
+    known = docs.join(drawn, docs[doc_id] == drawn["_id"]).select("domain", F.array_distinct(mix_words(F.col(text))).alias("w"))
+    known = cut(known)
+    sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(sizes)
     if not domains:
-        return ["none"], [0.0], [[0.0]] * buckets
-    # documents that hold a bucket, not words: a word that one text repeats is one witness
-    held = rows.select("domain", F.explode(F.array_distinct(F.transform("w", lambda w: bucket(w, buckets)))).alias("b"))
-    found = {(r["domain"], r["b"]): r["n"] for r in held.groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return DomainModel(["none"], [], [0.0], [])
     total = sum(sizes.values())
-    weights = []
-    for b in range(buckets):
-        n = sum(found.get((d, b), 0) for d in domains)
-        share = (n + 1) / (total + 2)
-        row = [_log((found.get((d, b), 0) + 4 * share) / ((sizes[d] + 4) * share)) for d in domains]
-        weights.append([x if abs(x) > 0.7 else 0.0 for x in row])  # words that say little say nothing
-    return domains, [_log(sizes[d] / total) for d in domains], weights
-
-
-def _log(x: float) -> float:
-    from math import log
-
-    return log(x)
-
-
-def with_posteriors(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
+    held = known.select("domain", F.explode("w").alias("word")).where("word <> ''")
+    counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)])
+    share = F.col("n") / total
+    # smoothed towards the word's share in all documents; evidence is the log ratio times the documents that bear it
+    odds = [F.log((F.col(f"n{i}") + 4 * share) / ((sizes[d] + 4) * share)) for i, d in enumerate(domains)]
+    # only words that a domain has more often: what is rarer in one mostly tells how long its documents are
+    evidence = F.greatest(*[o * F.col(f"n{i}") for i, o in enumerate(odds)], F.lit(0.0))
+    strongest = F.greatest(*odds, F.lit(0.0))
+    best = counts.where((F.col("n") >= 5) & (strongest > 1.2)).orderBy(F.desc(evidence), "word").limit(words).collect()
+    base = [log(sizes[d] / total) for d in domains]
+    present = []
+    for r in best:
+        p = [(r[f"n{i}"] + 4 * r["n"] / total) / (sizes[d] + 4 + 1e-9) for i, d in enumerate(domains)]
+        p = [min(max(x, 1e-9), 1 - 1e-6) for x in p]
+        base = [b + log(1 - x) for b, x in zip(base, p)]
+        present.append([log(x) - log(1 - x) for x in p])
+    return DomainModel(domains, [r["word"] for r in best], base, present)
+
+
+def with_posteriors(docs: DataFrame, model: DomainModel, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens (words) and posteriors (an array in the order of the model's domains). Row by row, no shuffle."""
-    domains, priors, weights = model
-    buckets, k = len(weights), len(domains)
-    table = F.lit([round(x, 6) for row in weights for x in row]).cast("array<double>")
+    k = len(model.domains)
     words = docs.withColumn("_w", mix_words(F.col(text)))
-    marks = F.lit([any(row) for row in weights]).cast("array<boolean>")
-    held = F.array_distinct(F.filter(F.transform("_w", lambda w: bucket(w, buckets)), lambda b: F.get(marks, b)))
-    scored = words.withColumn("_b", held).withColumn("n_tokens", F.size("_w").cast("long")).drop("_w")
+    edges = (F.get("_w", F.lit(0)) == "").cast("int") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
+    listed = F.array(*[F.lit(w) for w in model.words]).cast("array<string>")
+    weights = F.create_map(*[c for w, row in zip(model.words, model.present) for c in (F.lit(w), F.array(*[F.lit(x) for x in row]))]) if model.words else None
+    found = words.withColumn("n_tokens", (F.size("_w") - edges).cast("long")).withColumn("_f", F.array_intersect("_w", listed)).drop("_w")
 
     def evidence(j: int) -> Column:
-        return F.aggregate("_b", F.lit(float(priors[j])), lambda a, b: a + F.get(table, b * k + j))
+        base = F.lit(float(model.base[j]))
+        return F.aggregate("_f", base, lambda a, w: a + F.get(F.element_at(weights, w), F.lit(j))) if model.words else base
 
-    scored = scored.withColumn("_s", F.array(*[evidence(j) for j in range(k)])).drop("_b")
-    top = F.array_max("_s")
-    scored = scored.withColumn("_e", F.transform("_s", lambda x: F.exp(x - top)))
+    scored = found.withColumn("_s", F.array(*[evidence(j) for j in range(k)])).drop("_f")
+    scored = scored.withColumn("_e", F.transform("_s", lambda x: F.exp(x - F.array_max("_s"))))
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
     return scored.withColumn("posteriors", F.transform("_e", lambda x: x / total)).drop("_s", "_e")
 
@@ -96,8 +105,8 @@ def fit_rates(table: DataFrame, targets: list[float], steps: int = 60, tolerance
     """Steps of projected gradient descent for min over r >= 0 of the sum over domains of ((sum of r n p - T) / T)^2, from r = 1.
 
     ``table`` has n_tokens and posteriors. In the metric weighted by n the gradient of a document is its posteriors times
-    the weighted residuals; the step is one over a bound of the largest eigenvalue of sum n p p' / T^2. Nesterov's momentum
-    on the residuals would need the iterates; plain steps with a bound per pair of domains settle in tens of rounds.
+    the weighted residuals; each domain's
+    step is one over its row sum of the Gram matrix sum n p p', which bounds the eigenvalues, and settles in tens of rounds.
     """
     k = len(targets)
     p = [F.get("posteriors", F.lit(j)) for j in range(k)]
@@ -113,13 +122,11 @@ def fit_rates(table: DataFrame, targets: list[float], steps: int = 60, tolerance
         residual = [now[f"t{j}"] - targets[j] for j in range(k)]
         if max(abs(x) * s for x, s in zip(residual, scale)) <= tolerance:
             break
-        # diagonal scaling by each domain's own row of the Gram matrix (a bound of it by row sums)
         out.append([x / max(1e-9, sum(g[j])) for j, x in enumerate(residual)])
     return out
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, buckets: int = 8192,
-        steps: int = 60, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> tuple[DataFrame, list[str]]:
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, growth: float = 1.0, steps: int = 60, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> tuple[DataFrame, list[str]]:
     """``docs`` with n_tokens, posteriors and rate, and the domains' names in the order of the posteriors.
 
     ``weights``: share of tokens of each domain (missing domains 0; scaled to sum 1). ``growth``: tokens of the mixture over those of
@@ -128,8 +135,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     other columns stay (the text only ``with_text``), clashing ones are replaced. The scored rows are written once and read for each step.
     """
     weights = TARGETS if weights is None else weights
-    model = fit_domains(docs, labelled, buckets, doc_id, text)
-    domains = model[0]
+    model = fit_domains(docs, labelled, doc_id=doc_id, text=text)
+    domains = model.domains
     plain = docs.drop("n_tokens", "posteriors", "rate")
     path = shared_path(docs.sparkSession, "mix")
     scored = with_posteriors(plain, model, text)
