@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.session import cut_lineage, new_path
+from specloom.session import new_path
 
 #: Text that one Python step works on at once, in characters. A longer document is a step of its own.
 SLICE_CHARS = 1_000_000
@@ -21,7 +21,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table."""
-    return cut_lineage(df)
+    path = shared_path(df.sparkSession, "stage")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from specloom.llm.common import cut, fold_of
 
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 6_000_000
 END = b"\n"  # no word holds white space
-TOKENS_SCHEMA = "block long, kind int, doc_id long, learned boolean, ids binary, word binary, local int, n long, n_learned long"
+TOKENS_SCHEMA = "block long, kind int, doc_id long, learned boolean, ids binary, word binary, local int, n_learned long"
 CLASS_SCHEMA = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
 
 
@@ -56,7 +56,7 @@ def number_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return n
 
     local = Numbers()
-    seen, total, docs = np.zeros((1024, 2), np.int64), 0, []
+    seen, total, docs = np.zeros(1024, np.int64), 0, []
 
     def flush() -> pd.DataFrame:
         d, l, i = zip(*docs)
@@ -65,8 +65,7 @@ def number_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "block": block, "kind": np.repeat([0, 1], [n, m]).astype("int32"),
             "doc_id": pd.array([*d, *[None] * m], "Int64"), "learned": pd.array([*l, *[None] * m], "boolean"),
             "ids": [*i, *[None] * m], "word": [*[None] * n, *map(word_key, local)],
-            "local": pd.array([*[None] * n, *range(m)], "Int32"), "n": pd.array([*[None] * n, *seen[:m, 0]], "Int64"),
-            "n_learned": pd.array([*[None] * n, *seen[:m, 1]], "Int64"),
+            "local": pd.array([*[None] * n, *range(m)], "Int32"), "n_learned": pd.array([*[None] * n, *seen[:m].tolist()], "Int64"),
         }
         return pd.DataFrame(frame)
 
@@ -74,10 +73,9 @@ def number_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, learned, text in zip(b["doc_id"].tolist(), b["learned"].tolist(), b["text"].tolist()):
             ids = np.fromiter(map(local.__getitem__, [*words(text), END]), np.uint32)
             if len(local) > len(seen):
-                seen = np.concatenate([seen, np.zeros((max(len(seen), len(local)), 2), np.int64)])
-            kinds, times = np.unique(ids, return_counts=True) if len(ids) < len(local) else (np.arange(len(local)), np.bincount(ids, minlength=len(local)))
-            seen[kinds, 0] += times
-            seen[kinds, 1] += times * bool(learned)
+                seen = np.concatenate([seen, np.zeros(max(len(seen), len(local)), np.int64)])
+            if learned:
+                np.add.at(seen, ids, 1)
             docs.append((None if pd.isna(d) else int(d), bool(learned), ids.astype("<u4").tobytes()))
             total += len(ids)
             if total >= BLOCK_TOKENS:
