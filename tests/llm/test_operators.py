@@ -1,0 +1,315 @@
+"""The training-data operators against brute force on a small table with nulls, empty, long, repeated and odd rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from specloom.llm import ann, chat, decontam, hmm, langid, licenses, mixing, pii, simhash, tokens
+from specloom.llm.common import components, running_sum
+
+FOLDER = "/root/testdata/sf0.001"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score string, rate string, kinds string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The smallest documents, and rows that are null, empty, long, repeated or share an id; columns that clash."""
+    given = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    odd = [
+        (None, None, None, None, None), (None, "All RIGHTS reserved, all rights reserved.", "en", None, 1), (9001, None, "en", "x", 0), (9002, "", None, "x", 0),
+        (9003, "  \n ", "en", "x", 3), (9004, "word", "en", "x", 4), (9005, "!!! 123", "en", "x", 7), (9006, "same text here twice", "en", "x", 1),
+        (9006, "same text here twice", "en", "x", 1), (9006, "another text of the same id", "de", "x", 1), (9007, "İKK general public license cc by", "fr", "x", 1),
+        (9008, "a  b \n c<|endoftext|> \\ # 漢字 😀 ", "es", "x", 1), (9009, "tok" * 40_000, "en", "x", 1), (9010, "ab cd " * 30_000, "en", "x", 1),
+    ]
+    return spark.createDataFrame([(*r, "s", "r", "k") for r in [*given, *odd]], COLUMNS).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def texts(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+
+
+def test_token_files_hold_the_library_ids(docs, empty):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    rows = tokens.token_output(docs).collect()
+    order = sorted(texts(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len(rows) == len(order)
+    want = Counter()
+    for d, t in order:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        want[d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
+    assert ids == [d for d, _ in order]
+    assert tokens.token_output(empty).collect() == []
+
+
+def test_single_frames_read_alone(spark, docs, tmp_path):
+    path = str(tmp_path / "t")
+    tokens.write_token_files(docs, path, tokens.tokenizer_path(), block_ids=500)
+    data = bytes(spark.read.parquet(f"{path}/dictionary").first()["data"])
+    row = spark.read.parquet(f"{path}/blocks").where("size(doc_ids) > 1").first()
+    got = tokens.frame_ids(bytes(row["payload"]), row["offsets"][1], row["offsets"][2], row["width"], data)
+    assert len(got) == row["n_tokens"][1] and got[-1] == 2
+    assert len(row["payload"]) == row["offsets"][-1]
+
+
+def test_language_model_counts_and_scores(docs, empty):
+    rows = hmm.hmm_scores(docs, warm_docs=100, warm_rounds=3, rounds=1, frequent=300, hashed=64).collect()
+    every = [(d, [*(t or "").encode().lower().split(), b"\n"]) for d, t in texts(docs)]
+    count = Counter()
+    for d, w in every:
+        if zlib.crc32(str(d if d is not None else "").encode()) % 7 != 2:
+            count.update(w)
+    n, v = sum(count.values()), len(count)
+    want = Counter((d, len(w), sum(count[x] > 0 for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 4)) for d, w in every)
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows) == want
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) and all(r["score"] < 0 for r in rows)
+    assert hmm.hmm_scores(empty).collect() == []
+
+
+def test_forward_and_expected_counts_equal_enumeration():
+    rng = np.random.default_rng(0)
+    model = hmm.Model.drawn(np.array([0.2, 0.3, 0.5]), 2, 1)
+    lengths = np.array([5, 3, 1])
+    ids = rng.integers(0, 3, (5, 3)).astype(np.uint16)
+    sums = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3))
+    total = hmm.expected(model, ids, lengths, sums, window=2)
+    want, start, move, emit = 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3))
+    for j, n in enumerate(lengths):
+        paths = []
+        for code in range(2 ** n):
+            s = [code >> i & 1 for i in range(n)]
+            p = model.start[s[0]] * model.emit[s[0], ids[0, j]]
+            for t in range(1, n):
+                p *= model.move[s[t - 1], s[t]] * model.emit[s[t], ids[t, j]]
+            paths.append((s, p))
+        z = sum(p for _, p in paths)
+        want += math.log(z)
+        for s, p in paths:
+            start[s[0]] += p / z
+            for t in range(n):
+                emit[s[t], ids[t, j]] += p / z
+                if t:
+                    move[s[t - 1], s[t]] += p / z
+    assert total == pytest.approx(want)
+    for got, right in zip(sums, (start, move, emit)):
+        assert got == pytest.approx(right)
+    assert hmm.forward(model, ids, lengths)[0].sum() == pytest.approx(want)
+
+
+def test_simhash_equals_all_pairs(spark, docs, empty):
+    import xxhash
+
+    def fingerprint(t):
+        w = (t or "").encode().lower().split()
+        if not w:
+            return 0
+        s = [b" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or [b" ".join(w)]
+        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = simhash.simhash_groups(docs).collect()
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in rows) == Counter((d, f"{fingerprint(t):016x}") for d, t in texts(docs))
+    root = {int(r["fingerprint"], 16): int(r["fingerprint"], 16) for r in rows}
+    for a in root:
+        for b in root:
+            if bin(a ^ b).count("1") <= 3 and root[a] != root[b]:
+                old, new = root[a], root[b]
+                root = {k: new if v == old else v for k, v in root.items()}
+    least = defaultdict(list)
+    for r in rows:
+        least[root[int(r["fingerprint"], 16)]].append(r["doc_id"])
+    for r in rows:
+        assert r["component_id"] == min((d for d in least[root[int(r["fingerprint"], 16)]] if d is not None), default=None)
+    assert simhash.simhash_groups(empty).collect() == []
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == len(least)
+
+
+def test_anchor_covering_finds_every_close_pair():
+    rng = np.random.default_rng(2)
+    for x in rng.integers(0, 1 << 63, 12, dtype=np.uint64):
+        homes = set(simhash.homes_of(np.array([x]))[0])
+        for bits in (0, 1, 2, 3):
+            for _ in range(40):
+                y = x
+                for b in rng.choice(64, bits, replace=False):
+                    y ^= np.uint64(1) << np.uint64(b)
+                assert homes & set(simhash.replicas_of(np.array([y]))[1].tolist())
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 230)] + [(7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 161)}, **{i: 5 for i in [5, *range(200, 230)]}}
+
+
+def test_running_sum_over_a_hot_group(spark):
+    rows = [(1 if i % 3 else None, i, 2) for i in range(300)]
+    out = running_sum(spark.createDataFrame(rows, "g long, o long, v long"), ["g"], ["o"], "v", "before").collect()
+    for g in (1, None):
+        assert [r["before"] for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["o"])] == [2 * i for i in range(sum(r[0] == g for r in rows))]
+
+
+def test_language_accuracy_on_the_held_out_fold(spark, docs, empty):
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    rows = langid.identify_languages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert len(rows) > 200 and sum(truth[r["doc_id"]] == r["lang_pred"] for r in rows) / len(rows) > 0.97
+    found = langid.identify_languages(docs).collect()
+    assert len(found) == docs.count() and all(0 <= r["score"] <= 1 for r in found)
+    assert {r["lang_pred"] for r in found if r["doc_id"] in (9001, 9002, 9003, 9005)} == {"und"}
+    assert langid.identify_languages(empty).collect() == []
+    assert langid.keep_known_languages(docs).columns == docs.columns
+
+
+def test_license_places_equal_a_scan(docs, empty):
+    def places(t):
+        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) if x]
+        at = [(i, label) for p, label in licenses.PHRASES.items() for q in [p.split()] for i in range(len(w) - len(q) + 1) if w[i:i + len(q)] == q]
+        return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+    rows = licenses.scan_licenses(docs).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows) == Counter((d, *places(t)) for d, t in texts(docs))
+    assert all(set(r["base_labels"].split(",")) <= {*r["labels"].split(","), ""} and 0 <= r["score"] <= 1 for r in rows)
+    assert licenses.scan_licenses(empty).collect() == []
+
+
+def test_license_span_with_a_word_put_in(spark):
+    text = "x y Permission is hereby kindly granted, free of charge, to any person obtaining a copy of this software and associated documentation files. z"
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"] == "mit" and row["n_base"] == 0 and row["spans"][0]["first_word"] == 2
+
+
+def test_rates_meet_the_targets(spark, docs, empty):
+    labels = spark.createDataFrame([(r["doc_id"], "toxic" if re.search("idiot|clown|stupid|trash|loser", r["text"] or "") else "good") for r in docs.collect()], "doc_id long, domain string")
+    mixed, domains = mixing.mix(docs, labels, {"good": 0.9, "toxic": 0.1})
+    rows = mixed.collect()
+    tokens_all = sum(r["n_tokens"] for r in rows)
+    for j, d in enumerate(domains):
+        assert sum(r["rate"] * r["n_tokens"] * r["posteriors"][j] for r in rows) == pytest.approx(tokens_all * {"good": 0.9, "toxic": 0.1}[d], rel=0.01)
+    assert len(rows) == docs.count() and min(r["rate"] for r in rows) >= 0
+    assert mixing.mix(empty, labels)[0].collect() == []
+    assert mixing.mix(docs, labels.limit(0))[1] == ["none"]
+    assert mixing.sample_mixture(mixed, docs.columns).columns == docs.columns
+
+
+def test_leaks_reordered_and_short(spark, docs, empty):
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words)), (2, "only three words"), (3, None), (4, ""), (1, " ".join(words))]
+    parts = [words[20:40], ["noise"] * 9, words[:10], ["more"], words[10:20]]
+    planted = [(1, "x " + " ".join(words).upper() + "! y"), (2, " ".join(w for p in parts for w in p)), (3, "he said: only three WORDS"), (4, " ".join(words[:12])), (5, "only words three"), (None, " ".join(words))]
+    rows = decontam.find_leaks(spark.createDataFrame(planted, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_tiles"], r["coverage"]) for r in rows} == {(1, 1, 1, 1.0), (2, 1, 3, 1.0), (3, 2, 1, 1.0), (None, 1, 1, 1.0)}
+    benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    assert decontam.find_leaks(empty, benchmark).collect() == [] and decontam.find_leaks(docs, benchmark.limit(0)).collect() == []
+    kept = decontam.drop_leaks(docs, benchmark)
+    held = {d for d, t in texts(docs) for b in benchmark.collect() if b["text"] in (t or "")}
+    assert kept.columns == docs.columns and not held & {d for d, _ in texts(kept)}
+
+
+def test_conversations_round_trip(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "### user:\n</turn>\n\\</turn>#"), (1, 2, None, None), (2, 0, "a:b\n\\", "x"), (2, 0, "a:b\n\\", "x"), (None, None, "assistant", "no id"),
+            (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"), (3, 0, "assistant", "y" * 200_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", chat.F.lit(1))
+    segments = chat.format_conversations(table)
+    got = {r["conv_id"]: r for r in chat.formatted_digests(segments).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role or "", text or ""))
+    for c, turns in by.items():
+        turns.sort()
+        said = "".join(t for *_, r, t in turns if r == "assistant")
+        whole = "".join(f"{r}\n{t}\n" for *_, r, t in turns)
+        assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    spans = chat.with_spans(segments).where("conv_id = 1").orderBy("start").collect()
+    text = "".join(r["segment"] for r in spans)
+    learned = [text[r["loss_start"]:r["loss_end"]] for r in spans if r["loss_start"] is not None]
+    assert [re.sub(r"(?s)\\(.)", r"\1", x) for x in learned] == [rows[1][3]]
+    assert chat.formatted_digests(chat.format_conversations(table.limit(0))).collect() == []
+
+
+def test_events_fold(spark):
+    log = [(1, 1, 1, "message", "user", "hi"), (1, 2, 2, "message", "assistant", "a"), (1, 2, 3, "delta", None, "b"), (1, 2, 4, None, None, None), (1, 3, 5, "message", "user", "gone"),
+           (1, 2, 6, "regenerate", None, ""), (1, 2, 7, "delta", None, "new"), (1, 1, 8, "edit", None, "hello"), (1, 4, 9, "message", "user", "x"), (1, 4, 10, "delete", None, None), (2, 1, 1, "delta", None, "headless")]
+    out = chat.fold_events(spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string")).orderBy("conv_id", "at").collect()
+    assert [(r["conv_id"], r["role"], r["text"]) for r in out] == [(1, "user", "hello"), (1, "assistant", "new"), (2, "", "headless")]
+
+
+def test_surrogates_are_distinct_and_coherent(spark, docs, empty):
+    a, b = "Mr. Karl Weber", "+1 (743) 555-3824"
+    rows = [(1, f"{a} called {b}, mail Ann.Lee7@Mail9.example.com"), (2, f"743-555-3824? no: {b}; ann.lee7@mail9.example.com and 10.0.0.1"), (3, None), (4, "nothing here"), (4, "nothing here")]
+    rows += [(100 + i, f"host {i % 10}.{i // 10}.1.2 up") for i in range(100)]
+    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), b"key").collect()}
+    for i, t in rows:
+        for *_, mention in pii.mentions(t):
+            assert mention not in out[i]["text"]
+    one, two = ([m for *_, k, _, m in pii.mentions(out[i]["text"]) if k == "phone"] for i in (1, 2))
+    assert one[0] in two and re.fullmatch(r"\+\d \(\d{3}\) \d{3}-\d{4}", one[0])
+    mail = [next(m for *_, k, _, m in pii.mentions(out[i]["text"]) if k == "email") for i in (1, 2)]
+    assert mail[0].lower() == mail[1] and out[4]["text"] == "nothing here" and out[3]["text"] is None
+    assert re.search(r"Mr\. (\w+) \w+", out[1]["text"])[1] in pii.GIVEN["latin", "m"]
+    hosts = [out[100 + i]["text"] for i in range(100)]
+    assert len(set(hosts)) == 100  # small spaces clash and are drawn again
+    same = pii.replace_pii(docs, b"key")
+    assert same.count() == docs.count() and pii.replace_pii(empty, b"key").collect() == []
+
+
+def test_graph_search_recall_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 24)).tolist()
+    v[100] = v[50]
+    v[200] = v[50]
+    odd = [(5000, None), (5050, [0.0] * 24), (5100, [None] * 24), (5150, [float("nan")] * 24), (None, v[0]), (5200, [float("inf")] * 24), (5250, [])]
+    table = spark.createDataFrame([*enumerate(v), *odd], "vec_id long, embedding array<double>").withColumn("score", ann.F.lit("x"))
+    rows = ann.nearest(table, shard_rows=1000).collect()
+    x = np.array(v)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = defaultdict(dict)
+    for r in rows:
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    hits = 0
+    for q in range(0, 3000, 50):
+        near = u @ u[q]
+        near[q] = -9
+        hits += len({i for i, _ in got[q].values()} & set(np.lexsort((np.arange(3000), -near))[:5].tolist()))
+        for i, s in got[q].values():
+            assert s == pytest.approx(x[i] @ x[q] / math.sqrt((x[i] @ x[i]) * (x[q] @ x[q])), abs=1e-12)
+    assert set(got) == set(range(0, 3000, 50)) and hits / 300 >= 0.9
+    assert [got[50][1][0], got[50][2][0]] == [100, 200]
+    assert ann.nearest(table.limit(0)).collect() == []
+    few = ann.nearest(table.where("vec_id in (0, 1, 2)")).collect()
+    assert [r["rank"] for r in few] == [1, 2]
+
+
+def test_pipeline_equals_its_stages(spark):
+    """Brute force of the filtering stages; the last stage's rows are those of the mixture."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    known = p.language_stage(spark, docs, FOLDER)
+    once = p.near_copy_stage(spark, known, FOLDER)
+    clean = p.benchmark_stage(spark, once, FOLDER)
+    mixed = p.mixture_stage(spark, clean, FOLDER)
+    assert known.columns == once.columns == clean.columns == mixed.columns == docs.columns
+    assert {d for d, t in texts(known)} == {d for d, t in texts(docs) if re.search(r"[^\W\d_]", t)}
+    items = [b["text"] for b in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    assert {d for d, _ in texts(clean)} == {d for d, t in texts(once) if not any(b in t for b in items)}
+    out = p.run(spark, FOLDER)
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
