@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from specloom.session import new_path
 
 #: Text that one Python step works on at once, in characters. A longer document is a step of its own.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 300_000
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,21 @@ def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+def release_memory() -> None:
+    """Give what a finished task held back to the machine; a Python worker goes on to tasks of other stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def unit_hash(*cols) -> Column:
     """A number in [0, 1) that depends on the given columns alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))

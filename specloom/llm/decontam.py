@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import cut, row_key
+from specloom.llm.common import cut, release_memory, row_key
 
 BITMAP_BITS = 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -31,12 +31,12 @@ def tokens(text: str | None) -> list[str]:
 
 
 class TokenHashes(dict):
-    """64-bit hashes of tokens; emptied at a million entries."""
+    """64-bit hashes of tokens; emptied at 200,000 entries and after each task."""
 
     def __missing__(self, token: str) -> int:
         import xxhash
 
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[token] = h = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"))
         return h
@@ -154,6 +154,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage:
                     out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), np.unique(np.concatenate(found)).view(np.int64).tolist(), at.astype("<i8").tobytes(), h[at].tobytes()))
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["doc_id", "key", "seeds", "at", "toks"])
+        _hashes.clear()
+        release_memory()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     found = cut(rows.mapInArrow(hits, "doc_id long, key long, seeds array<long>, at binary, toks binary")).dropDuplicates(["key"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import fold_of, slices
+from specloom.llm.common import fold_of, release_memory, slices
 
 GRAM_PRIMES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _folded: list[np.ndarray] = []
@@ -172,6 +172,7 @@ def fit_language_model(rows: DataFrame, sample: int = 4000, bits: int = 15, seed
                 docs += len(texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*total[at], docs], pa.int64())], names=["bin", "n"])
+        release_memory()
 
     summed = labelled.select("text").mapInArrow(counts, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # a row for each bin at most
     frequency = np.zeros(size + 1)
@@ -221,6 +222,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str =
                     if letters[s.start + i]:
                         names[s.start + i], scores[s.start + i] = model.languages[k], p[i, k]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
+        release_memory()
 
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm.common import components, cut, row_key, slices
+from specloom.llm.common import components, cut, release_memory, row_key, slices
 
 #: Generator polynomials of the Golay code [23, 12] and of the Hamming code [15, 11].
 GOLAY, HAMMING = 0b101011100011, 0b10011
@@ -62,6 +62,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         for b in batches:
             prints = np.array([fingerprint(t.as_py(), size) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], names=["doc_id", "key", "fp"])
+        release_memory()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, key long, fp long")

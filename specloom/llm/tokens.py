@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specloom.llm.common import crc32, shared_path, slices
+from specloom.llm.common import crc32, release_memory, shared_path, slices
 
 BLOCK_SCHEMA = ("part int, seq int, dict_hash long, width int, doc_ids array<long>, offsets array<long>, "
                 "n_tokens array<long>, starts array<long>, payload binary")
@@ -194,6 +194,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                         ids, offsets, counts, starts, frames = [], [0], [], [], []
         if ids:
             yield block()
+        frames.clear()
+        release_memory()
 
     ready = ordered.select("doc_id", F.length("text").alias("n"), "text", F.spark_partition_id().alias("part"))
     ready.mapInArrow(pack, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
