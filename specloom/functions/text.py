@@ -92,7 +92,7 @@ def smart_title(col) -> Column:
         return (
             F.when(F.upper(core).isin(V.ACRONYMS), F.upper(word))
             .when((i > 0) & F.lower(core).isin(V.LOWERCASE_WORDS), F.lower(word))
-            .otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000))))
+            .otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2)))))
         )
 
     recased = F.array_join(F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), cased), " ")

@@ -16,6 +16,20 @@ from specloom.operators.ranking import topk
 DIGITS = 9  # similarities are compared after rounding, so equal vectors tie exactly
 
 
+#: Cells of the product that a task holds at once (64 MB of doubles).
+CELLS = 8_000_000
+
+
+def usable(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, vec) without null vectors; a length other than the others' is an error, not a shifted matrix."""
+    rows = df.select(id_col, "vec").filter(F.col("vec").isNotNull())
+    first = rows.select(F.size("vec").alias("n")).first()
+    if first is None:
+        return rows
+    wrong = F.raise_error(F.concat(F.lit(f"vector of another length than {first['n']}: "), F.size("vec").cast("string")))
+    return rows.withColumn("vec", F.when(F.size("vec") == first["n"], F.col("vec")).otherwise(wrong))
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -41,33 +55,45 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, block_rows: int =
     """Top ``k`` documents per query by inner product, as (query, doc, similarity, rank).
 
     Both sides are hashed into even blocks; one task multiplies one query block with one document
-    block and returns at most ``k`` rows per query (more only for exact ties at the cut). Inputs
-    are (query, vec) and (doc, vec).
+    block, a slice of queries at a time, and returns at most ``k`` rows per query (ties: smaller id). Inputs
+    are (query, vec) and (doc, vec); null vectors take no part, unequal lengths are an error.
     """
+    queries, docs = usable(queries, "query"), usable(docs, "doc")
     e, d = _cut(queries.count(), block_rows), _cut(docs.count(), block_rows)
-    left = _tile(queries.select("query", "vec"), "_qb", e, "_db", d, "query")
-    right = _tile(docs.select("doc", "vec"), "_db", d, "_qb", e, "doc")
+    left = _tile(queries, "_qb", e, "_db", d, "query")
+    right = _tile(docs, "_db", d, "_qb", e, "doc")
     schema = T.StructType([queries.schema["query"], docs.schema["doc"], T.StructField("similarity", T.DoubleType())])
 
     def block(q: pa.Table, x: pa.Table) -> pa.Table:
-        out_q, out_d, out_s = [], [], []
+        found_q, found_d, found_s = [], [], []
         if q.num_rows and x.num_rows:
-            sims = np.round(_matrix(q["vec"]) @ _matrix(x["vec"]).T, DIGITS) + 0.0
-            qid, did = q["query"].to_pylist(), x["doc"].to_pylist()
-            for i, row in enumerate(sims):
-                kth = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                if floor is not None:
-                    kth = max(kth, floor)
-                for j in np.nonzero(row >= kth)[0]:
-                    out_q.append(qid[i])
-                    out_d.append(did[j])
-                    out_s.append(float(row[j]))
-        return pa.table({"query": out_q, "doc": out_d, "similarity": out_s}, schema=_arrow(schema))
+            x = x.sort_by("doc")  # columns in the order of ids: a stable sort then breaks ties
+            vectors, others = _matrix(q["vec"]), _matrix(x["vec"]).T
+            step = max(1, CELLS // x.num_rows)
+            for first in range(0, q.num_rows, step):
+                sims = np.round(vectors[first:first + step] @ others, DIGITS) + 0.0
+                rows, cols = np.nonzero(_candidates(sims, k, floor))
+                order = np.lexsort((cols, -sims[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, cols = rows[place < k], cols[place < k]
+                found_q.append(rows + first)
+                found_d.append(cols)
+                found_s.append(sims[rows, cols])
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        at, of = join(found_q, np.int64), join(found_d, np.int64)
+        return pa.table({"query": q["query"].take(at), "doc": x["doc"].take(of), "similarity": join(found_s, np.float64)}).cast(_arrow(schema))
 
     found = left.groupBy("_qb", "_db").cogroup(right.groupBy("_qb", "_db")).applyInArrow(block, schema)
     return topk(found, ["query"], ["-similarity", "doc"], k)
 
 
+def _candidates(sims: np.ndarray, k: int, floor: float | None) -> np.ndarray:
+    """What reaches each row's k-th best value, ties included, and the floor."""
+    least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
+    return sims >= np.maximum(least, -np.inf if floor is None else floor)[:, None]
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])

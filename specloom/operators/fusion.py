@@ -84,15 +84,17 @@ def fused_search(queries: DataFrame, corpus: DataFrame, index: Bm25Index, q_vecs
 
     ``queries(query, text)``, ``corpus(doc, status)``. Ranks are those of the whole corpus, but
     only documents that can reach the top ``k`` are scored: the first ``fused_depth(k)`` of each
-    channel plus every document with a bonus.
+    channel plus every document with a bonus. Where a query has fewer positive scores than that depth, the lexical
+    channel goes on with the documents of score 0 by id, then with the negative ones.
     """
     depth = fused_depth(k)
-    lexical = cut_lineage(bm25_scores(queries, index, "query", "text"))  # read five times below
+    # read several times below; a score of exactly 0 ranks like no score
+    lexical = cut_lineage(bm25_scores(queries, index, "query", "text").filter(F.col("score") != 0))
     top_semantic = dense.dense_search(q_vecs, d_vecs, depth).select("query", "doc")
     top_lexical = topk(lexical.filter(F.col("score") > 0), ["query"], ["-score", "doc"], depth).select("query", "doc")
     alias = alias_hits(queries, aliases) if aliases is not None else None
     designation = designation_hits(queries, designations) if designations is not None else None
-    pools = [top_semantic, top_lexical] + [b.select("query", "doc") for b in (alias, designation) if b is not None]
+    pools = [top_semantic, top_lexical, _after_positive(lexical, corpus, depth)] + [b.select("query", "doc") for b in (alias, designation) if b is not None]
     pool = reduce(DataFrame.unionByName, pools).distinct()
     pool = cut_lineage(dense.pair_similarity(pool, q_vecs, d_vecs))
     pool = dense.similarity_rank(pool, q_vecs, d_vecs)
@@ -115,9 +117,28 @@ def fused_search(queries: DataFrame, corpus: DataFrame, index: Bm25Index, q_vecs
                          "bm25_score", F.col("_h").alias("designation_hits"), F.col("_a").alias("alias_hit"))
 
 
+def _after_positive(lexical: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
+    """(query, doc) at lexical ranks up to ``depth`` behind the positive scores, for queries with any positive score.
+
+    A query's first ``depth`` documents of score 0 are among the first ``depth`` + (its scored ones) of the corpus by
+    id, so at most that many rows are looked at.
+    """
+    n = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
+    counts = lexical.groupBy("query").agg(F.count_if(F.col("score") > 0).alias("_pos"), F.count(F.lit(1)).alias("_scored"))
+    short = counts.filter((F.col("_pos") > 0) & (F.col("_pos") < depth)).withColumn("_n", n)
+    order = exact_rank(corpus.select("doc"), [], ["doc"], "_position")
+    first = short.withColumn("_position", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("_n", F.col("_scored") + depth))))
+    zero = first.join(order, "_position").join(lexical.select("query", "doc"), ["query", "doc"], "left_anti")
+    zero = topk(zero, ["query"], ["doc"], depth, "_nth").filter(F.col("_nth") <= depth - F.col("_pos")).select("query", "doc")
+    left = short.withColumn("_left", depth - F.col("_pos") - (F.col("_n") - F.col("_scored"))).filter("_left > 0").select("query", "_left")
+    negative = topk(lexical.filter(F.col("score") < 0).join(left, "query"), ["query"], ["-score", "doc"], depth, "_nth")
+    return zero.unionByName(negative.filter(F.col("_nth") <= F.col("_left")).select("query", "doc"))
+
+
 def _lexical_rank(pool: DataFrame, lexical: DataFrame, corpus: DataFrame) -> DataFrame:
     """Exact BM25 rank in the whole corpus for pooled pairs; NULL when no document of the query has
-    a positive score. Unscored documents sit between positive and negative ones, by id."""
+    a positive score. ``lexical`` has no score of 0: documents without one sit between positive and negative
+    ones, by id."""
     n = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
     per_query = lexical.groupBy("query").agg(
         F.count_if(F.col("score") > 0).alias("_pos"), F.count(F.lit(1)).alias("_scored"))

@@ -64,8 +64,10 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_cols:
 
 
 def insert_new(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Target plus the updates whose key it does not hold yet; repeated loads change nothing."""
-    return target.unionByName(updates.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
+    """Target plus the updates whose key it does not hold yet; repeated loads change nothing. Of updates that
+    repeat a key the first by all columns is taken, on any layout."""
+    first = first_per_group(updates, keys, updates.columns)
+    return target.unionByName(first.join(target.select(*keys), keys, "left_anti"))
 
 
 def replace_children(children: DataFrame, updates: DataFrame, parent: str) -> DataFrame:

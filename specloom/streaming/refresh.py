@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from specloom.operators.ranking import first_per_group
 from specloom.operators import corpus as C
 from specloom.streaming.versions import latest, write_version
 
@@ -32,7 +33,7 @@ def incremental_refresh(records: DataFrame, state: str, checkpoint: str, documen
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = batch.dropDuplicates(["id"])
+        newest = first_per_group(batch, ["id"], batch.columns)  # the same row on any layout
         old = latest(spark, f"{state}/master", before=batch_id)
         if old is None:
             empty = spark.createDataFrame([], batch.schema)

@@ -31,11 +31,16 @@ def throttle(events: DataFrame, key: str, seconds: str, order: str, limit: int =
     windows, and a run of consecutive non-empty ones (counted first, on one row per key and window)
     is independent of everything before it, so a busy key is spread over its runs. Inside a run the
     rows stream through the task in time order and only the last ``limit`` times are held.
+    Events without a key share one limit; an event without a time can't be judged and has a NULL decision.
     """
-    bucketed = events.withColumn("_b", F.floor(F.col(seconds) / window))
+    timed = events.filter(F.col(seconds).isNotNull())
+    bucketed = timed.withColumn("_b", F.floor(F.col(seconds) / window))
     used = bucketed.select(key, "_b").distinct()
     runs = used.withColumn("_run", F.col("_b") - F.row_number().over(Window.partitionBy(key).orderBy("_b")))
-    placed = bucketed.join(runs, [key, "_b"]).repartition(key, "_run").sortWithinPartitions(key, "_run", seconds, order)
+    runs = runs.select(F.col(key).alias("_key"), F.col("_b").alias("_bucket"), "_run")
+    placed = bucketed.join(runs, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket"))).drop("_key", "_bucket")
+    placed = placed.withColumn("_group", F.concat_ws("|", F.col(key).isNull().cast("string"), F.col(key).cast("string"), F.col("_run").cast("string")))
+    placed = placed.repartition("_group").sortWithinPartitions("_group", seconds, order)
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
     columns = events.columns
 
@@ -43,13 +48,14 @@ def throttle(events: DataFrame, key: str, seconds: str, order: str, limit: int =
         current, kept = None, deque()
         for batch in batches:
             allowed = pd.Series(False, index=batch.index)
-            for run, rows in batch.groupby([key, "_run"], sort=False):
+            for run, rows in batch.groupby("_group", sort=False):
                 if run != current:
                     current, kept = run, deque()
                 allowed.loc[rows.index] = _decide(rows[seconds], kept, limit, window)
             yield batch[columns].assign(allowed=allowed)
 
-    return placed.mapInPandas(decide, schema)
+    untimed = events.filter(F.col(seconds).isNull()).withColumn("allowed", F.lit(None).cast("boolean"))
+    return placed.mapInPandas(decide, schema).unionByName(untimed)
 
 
 def throttle_stream(events: DataFrame, key: str, ts: str, limit: int = 60, window: int = 60, lateness: str = "1 minute") -> DataFrame:

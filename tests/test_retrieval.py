@@ -152,3 +152,37 @@ def test_metrics(spark):
     rel = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], ["query", "doc"])
     out = {r.kind: r for r in metrics.ir_metrics(q, hits, rel).collect()}
     assert out["OVERALL"].recall_3 == pytest.approx(2 / 3, abs=1e-6) and out["a"].mrr == 0.75 and out["b"].mrr == 0
+
+
+@pytest.mark.parametrize("k", [1, 5, 20])
+def test_fused_search_with_rare_and_with_half_frequent_words(spark, k):
+    """Two documents hold the rare word; another word is in exactly half of the documents (score 0), one in most (negative)."""
+    n = 240
+    docs = {i: "common " * (i % 8 > 0) + "half " * (i % 2) + "filler" + " rare" * (i in (150, 190)) for i in range(n)}
+    queries = {0: "rare", 1: "half", 2: "rare half common"}
+    dm, dv = vectors(spark, n, 4, 5, "doc")
+    qm, qv = vectors(spark, 3, 4, 6, "query")
+    d, q = frames(spark, (docs, queries))
+    c = spark.createDataFrame([(i, "superseded" if i % 3 == 0 else "active") for i in docs], ["doc", "status"])
+    got = fusion.fused_search(q, c, build_bm25(d, "doc", "text"), qv, dv, k).collect()
+    sims = np.round(qm @ dm.T, 9)
+    for qid, text in queries.items():
+        lex = brute_bm25(docs, text)
+        signal = max(lex.values()) > 0
+        lr = {i: r + 1 for r, i in enumerate(sorted(docs, key=lambda i: (-lex[i], i)))}
+        sr = {i: r + 1 for r, i in enumerate(sorted(docs, key=lambda i: (-sims[qid, i], i)))}
+        score = {i: round(((0.5 / (60 + lr[i]) if signal else 0) + 1 / (60 + sr[i])) * (0.6 if i % 3 == 0 else 1), 12) for i in docs}
+        want = sorted(docs, key=lambda i: (-score[i], i))[:k]
+        rows = sorted((r for r in got if r["query"] == qid), key=lambda r: r["rank"])
+        assert [r["doc"] for r in rows] == want
+        assert [r["lexical_rank"] for r in rows] == [lr[i] if signal else None for i in want]
+
+
+def test_dense_search_null_zero_tied_and_short_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, [0.5, 0.5])]
+    docs = spark.createDataFrame(rows, "doc long, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query long, vec array<double>")
+    got = sorted((r["query"], r["rank"], r["doc"]) for r in dense.dense_search(queries, docs, 2).collect())
+    assert got == [(1, 1, 1), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
+    with pytest.raises(Exception, match="another length"):
+        dense.dense_search(queries, docs.unionByName(spark.createDataFrame([(9, [1.0])], docs.schema)), 2).collect()

@@ -127,3 +127,9 @@ def test_splits_keep_groups_whole(spark):
     assert folds.groupBy("q").agg(F.countDistinct("fold").alias("n")).filter("n > 1").isEmpty()
     sizes = [r.n for r in folds.groupBy("fold").agg(F.countDistinct("q").alias("n")).collect()]
     assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 23
+
+
+def test_throttle_returns_every_row(spark):
+    rows = [(1, None, 0.0), (2, None, 1.0), (3, None, 2.0), (4, "a", None), (5, "a", 1.0), (6, None, None)]
+    got = throttle(spark.createDataFrame(rows, "id long, key string, sec double"), "key", "sec", "id", limit=2, window=60)
+    assert {r["id"]: r["allowed"] for r in got.collect()} == {1: True, 2: True, 3: False, 4: None, 5: True, 6: None}
