@@ -34,6 +34,8 @@ NOTICES = {
 }
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SENTINEL = ""
+#: A template table of up to so many word pairs is broadcast: some 10 MB.
+BROADCAST_ROWS = 50_000
 #: Pairs of two of these words stand in any English text; they are no evidence and a notice does not list them.
 COMMON = frozenset("a an and any are at be by for from in is it may not of on or that the this to under was with you".split())
 
@@ -71,7 +73,10 @@ def scan_hits(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", tex
     sized = pairs.select("doc_id", "key", F.when(F.col("none"), 0).otherwise(F.size("pairs") + 1).cast("long").alias("n_words"), F.concat(F.array(F.lit(SENTINEL)), "pairs").alias("grams"))
     rows = sized.select("doc_id", "key", "n_words", F.posexplode("grams").alias("p", "gram"))
     mark = docs.sparkSession.createDataFrame([("", "", True, 0, SENTINEL, 0)], templates.schema)
-    return rows.join(templates.unionByName(mark), "gram").select("doc_id", "key", "n_words", (F.col("p") - 1).cast("long").alias("pos"), "template", "label", "base", "wanted", "at")
+    held = templates.unionByName(mark)
+    # a local table has no size statistics, so its rows are counted; beyond the bound both sides are shuffled by gram
+    held = F.broadcast(held) if templates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
+    return rows.join(held, "gram").select("doc_id", "key", "n_words", (F.col("p") - 1).cast("long").alias("pos"), "template", "label", "base", "wanted", "at")
 
 
 def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: float = 0.85, slack: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
