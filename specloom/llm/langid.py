@@ -143,6 +143,24 @@ def temperature_of(logits: np.ndarray, targets: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def smallest_hashes(drawn: DataFrame, n_rows: dict[str, int], each: int) -> dict[str, int]:
+    """For each language of ``drawn`` (lang, h) the ``each``-th smallest hash, or the largest where it has fewer rows.
+
+    Hashes are even, so only those below a bound set from the language's number of rows are ranked: about twice ``each``,
+    however many rows it has. A language that shows too few below its bound (equal keys) is asked again with a larger one.
+    """
+    border, share = {}, {k: (2 * each + 1000) / n for k, n in n_rows.items()}
+    while share:
+        bound = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(min(v, 1) * (2**64 - 1)) - 2**63).cast("long"))])
+        low = drawn.where(F.col("h") <= bound[F.col("lang")])
+        ranked = low.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("r")).where(F.col("r") <= each)
+        for r in ranked.groupBy("lang").agg(F.max("h").alias("h"), F.count("h").alias("n")).collect():
+            if r["n"] >= min(each, n_rows[r["lang"]]):
+                border[r["lang"]] = r["h"]
+        share = {k: 4 * v for k, v in share.items() if k not in border}
+    return border
+
+
 def fit_language_model(rows: DataFrame, sample: int = 4000, bits: int = 15, seed: int = 3, **ftrl_options) -> LanguageModel | None:
     """Learn from ``rows`` (key, text, lang). Document frequencies use all rows with a language; the regression at most
     ``sample`` rows, as many of each language as fit, those with the smallest hash of (key, language).
@@ -150,12 +168,12 @@ def fit_language_model(rows: DataFrame, sample: int = 4000, bits: int = 15, seed
     spark = rows.sparkSession
     labelled = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     drawn = labelled.select("lang", F.xxhash64("key", "lang", F.lit(seed)).alias("h"))
-    languages = sorted(r["lang"] for r in drawn.groupBy("lang").count().collect())
+    n_rows = {r["lang"]: r["count"] for r in drawn.groupBy("lang").count().collect()}
+    languages = sorted(n_rows)
     if not languages:
         return None
     each = max(1, sample // len(languages))
-    ranked = drawn.select("lang", "h", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("r")).where(F.col("r") <= each)
-    border = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    border = smallest_hashes(drawn, n_rows, each)
     size = 1 << bits
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
