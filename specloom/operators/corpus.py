@@ -107,25 +107,26 @@ def expand_corpus(base: DataFrame, additions: DataFrame, provenance: str) -> Dat
         new.withColumn("provenance", F.lit(provenance)), allowMissingColumns=True)
 
 
-def full_corpus_outcomes(curated: DataFrame, ingested: DataFrame, sectors: list[str]) -> DataFrame:
+def full_corpus_outcomes(curated: DataFrame, ingested: DataFrame, sectors: DataFrame) -> DataFrame:
     """Ingested rows with tidied scope, keywords and ``outcome``: kept, duplicate, bad_scope or other_sector.
 
-    ``ingested(ordinal, number, title, scope, category)``. A number is taken by the curated corpus or
+    ``ingested(ordinal, number, title, scope, category)``, ``sectors(category)``: those wanted. A number is taken by the curated corpus or
     by its first usable ingested row; later rows of it are duplicates.
     """
     rows = ingested.withColumn("number", N.normalize_number("number")).withColumn("scope", X.tidy_scope("scope"))
     rows = rows.withColumn("_usable", X.usable_text("scope"))
     held = curated.select(N.normalize_number("number").alias("number")).distinct().withColumn("_held", F.lit(True))
     rows = rows.join(held, "number", "left")
-    can = F.col("_held").isNull() & F.col("_usable") & F.col("category").isin(sectors)
+    rows = rows.join(sectors.select("category").distinct().withColumn("_sector", F.lit(True)), "category", "left")
+    can = F.col("_held").isNull() & F.col("_usable") & F.col("_sector").isNotNull()
     taken = rows.groupBy("number").agg(F.min(F.when(can, F.col("ordinal"))).alias("_taken"))
     rows = rows.join(taken, "number")
     outcome = (
         F.when(F.col("_held").isNotNull() | (F.col("ordinal") > F.col("_taken")), "duplicate")
         .when(~F.col("_usable"), "bad_scope")
-        .when(~F.col("category").isin(sectors), "other_sector").otherwise("kept"))
+        .when(F.col("_sector").isNull(), "other_sector").otherwise("kept"))
     rows = rows.withColumn("outcome", outcome).withColumn("keywords", X.keywords("title", "scope"))
-    return rows.withColumn("family", N.family_key("number", "prefix")).drop("_usable", "_held", "_taken")
+    return rows.withColumn("family", N.family_key("number", "prefix")).drop("_usable", "_held", "_taken", "_sector")
 
 
 def overlay_merge(full: DataFrame, curated: DataFrame) -> DataFrame:

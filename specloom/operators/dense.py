@@ -51,17 +51,18 @@ def _tile(df: DataFrame, own: str, own_n: int, other: str, other_n: int, *keys:
 
 
 def dense_search(queries: DataFrame, docs: DataFrame, k: int, block_rows: int = 20_000,
-                 floor: float | None = None) -> DataFrame:
+                 floor: float | None = None, pooled: bool = False) -> DataFrame:
     """Top ``k`` documents per query by inner product, as (query, doc, similarity, rank).
 
     Both sides are hashed into even blocks; one task multiplies one query block with one document
     block, a slice of queries at a time, and returns at most ``k`` rows per query (ties: smaller id). Inputs
-    are (query, vec) and (doc, vec); null vectors take no part, unequal lengths are an error.
+    are (query, vec) and (doc, vec); null vectors take no part, unequal lengths are an error. With ``pooled`` a document
+    may have several vectors, in any blocks, and the best one counts.
     """
     queries, docs = usable(queries, "query"), usable(docs, "doc")
     e, d = _cut(queries.count(), block_rows), _cut(docs.count(), block_rows)
     left = _tile(queries, "_qb", e, "_db", d, "query")
-    right = _tile(docs, "_db", d, "_qb", e, "doc")
+    right = _tile(docs, "_db", d, "_qb", e, *(("doc", "vec") if pooled else ("doc",)))
     schema = T.StructType([queries.schema["query"], docs.schema["doc"], T.StructField("similarity", T.DoubleType())])
 
     def block(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -70,8 +71,14 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, block_rows: int =
             x = x.sort_by("doc")  # columns in the order of ids: a stable sort then breaks ties
             vectors, others = _matrix(q["vec"]), _matrix(x["vec"]).T
             step = max(1, CELLS // x.num_rows)
+            if pooled:
+                owners = _ids(x["doc"])
+                starts = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+                x = x.take(starts)
             for first in range(0, q.num_rows, step):
                 sims = np.round(vectors[first:first + step] @ others, DIGITS) + 0.0
+                if pooled:
+                    sims = np.maximum.reduceat(sims, starts, axis=1)
                 rows, cols = np.nonzero(_candidates(sims, k, floor))
                 order = np.lexsort((cols, -sims[rows, cols], rows))
                 rows, cols = rows[order], cols[order]
@@ -85,6 +92,8 @@ def dense_search(queries: DataFrame, docs: DataFrame, k: int, block_rows: int =
         return pa.table({"query": q["query"].take(at), "doc": x["doc"].take(of), "similarity": join(found_s, np.float64)}).cast(_arrow(schema))
 
     found = left.groupBy("_qb", "_db").cogroup(right.groupBy("_qb", "_db")).applyInArrow(block, schema)
+    if pooled:
+        found = found.groupBy("query", "doc").agg(F.max("similarity").alias("similarity"))
     return topk(found, ["query"], ["-similarity", "doc"], k)
 
 
@@ -153,9 +162,20 @@ def similarity_rank(pairs: DataFrame, queries: DataFrame, docs: DataFrame, block
     return pairs.join(ranks, ["query", "doc"])
 
 
+def pooled_search(queries: DataFrame, docs: DataFrame, chunks: DataFrame, k: int, damp: float) -> DataFrame:
+    """Top ``k`` documents by the best of their own similarity and all their chunks' damped ones.
+
+    ``docs(doc, vec)``, ``chunks(doc, vec)`` where doc owns the chunk; one without an own vector takes part by its chunks.
+    Every chunk is read: a damped chunk is a shorter vector of its owner, and an owner's vectors are spread over blocks.
+    """
+    scaled = chunks.select("doc", F.transform("vec", lambda x: x.cast("double") * damp).alias("vec"))
+    own = docs.select("doc", F.col("vec").cast("array<double>").alias("vec"))
+    return dense_search(queries, own.unionByName(scaled), k, pooled=True)
+
+
 def pool_chunks(doc_scores: DataFrame, chunk_scores: DataFrame, damp: float) -> DataFrame:
-    """Best of a document's own similarity and its damped chunk similarities: (query, doc, similarity)."""
+    """Best of a document's own similarity and its damped chunk similarities, whichever there are: (query, doc, similarity)."""
     damped = chunk_scores.select("query", "doc", (F.col("similarity") * damp).alias("_chunk"))
     best = damped.groupBy("query", "doc").agg(F.max("_chunk").alias("_chunk"))
-    return doc_scores.join(best, ["query", "doc"], "left").withColumn(
+    return doc_scores.join(best, ["query", "doc"], "full").withColumn(
         "similarity", F.greatest("similarity", "_chunk")).drop("_chunk")

@@ -120,20 +120,24 @@ def _(t: Tables):
 ALL = " UNION ALL ".join((K1, K2, K3, K4, K5))
 
 
-def findings(t: Tables, items: bool):
-    d, c = W.drafts(t), lint_corpus(t)
-    hits = item_hits(t, d, c) if items else None
-    return A.lint(d, c, W.edges(t), orders(t), chain(c), hits, ROLES, V.UNCITED_MIN_SIMILARITY)
+#: al: the findings of all six rules.
+FINDINGS = W.stored(W.cte(*AUDIT, W.EDGE, *HITS, "al AS (" + ALL + " UNION ALL " + K6 + ")"), "cite", "rc", "fm", "edge", "it", "qi", "sc", "score", "sim", "rk", "top1")
+
+
+def findings(t: Tables, d):
+    """Findings of all six rules over the drafts ``d``."""
+    c = lint_corpus(t)
+    return A.lint(d, c, W.edges(t), orders(t), chain(c), item_hits(t, d, c), ROLES, V.UNCITED_MIN_SIMILARITY)
 
 
-@query("lint_findings", W.cte(*AUDIT, W.EDGE, *HITS) + ALL + " UNION ALL " + K6)
+@query("lint_findings", FINDINGS + "SELECT * FROM al")
 def _(t: Tables):
-    return A.order_findings(findings(t, items=True))
+    return A.order_findings(findings(t, W.drafts(t)))
 
 
-@query("lint_summary", W.cte(*AUDIT, W.EDGE, "al AS (" + ALL + ")") + """SELECT doc, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM al GROUP BY doc""")
+@query("lint_summary", FINDINGS + """SELECT doc, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM al GROUP BY doc""")
 def _(t: Tables):
-    return A.finding_summary(findings(t, items=False))
+    return A.finding_summary(findings(t, W.drafts(t)))
 
 
 @query("grounding_check", W.cte(W.DRAFT, W.CITE) + """SELECT DISTINCT doc, concat('IS ', base, CASE WHEN part IS NOT NULL THEN concat('-', part) ELSE '' END, CASE WHEN year IS NOT NULL THEN concat(':', year) ELSE '' END) AS number,

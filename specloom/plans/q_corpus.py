@@ -145,7 +145,7 @@ def _(t: Tables):
     ing = t.documents.select(F.col("doc_id").alias("ordinal"), F.concat(F.lit("IS "), F.col("doc_id") % 600).alias("number"),
                              F.lit("t").alias("title"), F.col("text").alias("scope"), F.col("source").alias("category"))
     cur = t.documents.filter(F.col("doc_id") % 600 < 50).select(F.concat(F.lit(" IS  "), F.col("doc_id") % 600).alias("number"))
-    sectors = [f"src{i}" for i in range(1, 1000)]
+    sectors = t.documents.filter("source <> 'src0'").select(F.col("source").alias("category")).distinct()
     return C.full_corpus_outcomes(cur, ing, sectors).select("ordinal", "outcome")
 
 

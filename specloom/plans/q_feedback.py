@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.functions import scoring as S
@@ -55,19 +58,31 @@ def _(t: Tables):
 
 
 def query_sets(t: Tables):
-    n = F.concat(F.lit("query "), "s_suppkey")
-    return t.supplier.filter("s_suppkey < 50").select(F.concat(n, F.lit(" ")).alias("query")), t.supplier.filter("s_suppkey >= 55").select(n.alias("query"))
+    """(training, evaluation) queries: those asked at least as often as the mean query, and the rarer ones."""
+    asked = interactions(t).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    often = F.col("n") >= asked.agg(F.avg("n").alias("m")).select("m").scalar()
+    return asked.filter(often).select(F.concat("query", F.lit(" ")).alias("query")), asked.filter(~often).select("query")
+
+
+RARE = """WITH asked AS (SELECT concat('query ', user_id % 60) AS query, count(*) AS n FROM events GROUP BY 1), rare AS (SELECT query FROM asked WHERE n < (SELECT avg(n) FROM asked))
+"""
 
 
-@query("leaked_queries", "SELECT DISTINCT concat('query ', user_id % 60) AS query FROM events WHERE user_id % 60 >= 55")
+@query("leaked_queries", RARE + "SELECT query FROM rare")
 def _(t: Tables):
     return B.leakage(interactions(t), query_sets(t)[1])
 
 
-@query("log_integrity", "SELECT (SELECT count(*) FROM events) AS n_lines, (SELECT count(DISTINCT user_id % 60) FROM events WHERE user_id % 60 >= 55) AS n_leaked, (SELECT count(DISTINCT user_id % 60) FROM events WHERE user_id % 60 >= 50) AS n_extra, false AS passed")
+@query("log_integrity", RARE + """, c AS (SELECT (SELECT count(*) FROM events) AS n, (SELECT count(*) FROM rare) AS r)
+ SELECT 'rare queries held out' AS given, n AS n_lines, r AS n_leaked, r AS n_extra, r = 0 AS passed FROM c UNION ALL SELECT 'other queries held out', n, 0, 0, true FROM c
+ UNION ALL SELECT 'lines missing', n, 0, 0, n = (SELECT count(*) FROM orders) FROM c""")
 def _(t: Tables):
-    train, ev = query_sets(t)
-    return B.log_integrity(interactions(t), train, ev, 10_000)
+    logs = interactions(t)
+    train, rare = query_sets(t)
+    every, other = logs.select("query").distinct(), t.supplier.select(F.col("s_name").alias("query"))
+    n = t.events.count()
+    cases = {"rare queries held out": (train, rare, n), "other queries held out": (every, other, n), "lines missing": (every, other, t.orders.count())}
+    return reduce(DataFrame.unionByName, [B.log_integrity(logs, *sets).withColumn("given", F.lit(name)) for name, sets in cases.items()])
 
 
 CAND = (*BM25_TOP, *DENSE_TOP, W.QRELS, """cand AS (SELECT query, doc, rank FROM sparse WHERE rank <= 20), cps AS (SELECT doc, lang AS category, source, (doc % 30) AS a FROM dc),

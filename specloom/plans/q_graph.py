@@ -78,18 +78,24 @@ def half(t: Tables):
     return W.standards(t).filter("key % 2 = 0").withColumn("status", F.when(F.col("key") % 3 == 0, "superseded").otherwise("active"))
 
 
+def every(t: Tables):
+    """All standards and their state."""
+    return W.standards(t).withColumn("status", F.when(F.col("key") % 3 == 0, "superseded").otherwise("active"))
+
+
+EVERY = "held AS (SELECT *, CASE WHEN key % 3 = 0 THEN 'superseded' ELSE 'active' END AS status FROM std)"
 HALF = "half AS (SELECT *, CASE WHEN key % 3 = 0 THEN 'superseded' ELSE 'active' END AS status FROM std WHERE key % 2 = 0)"
 
 
-@query("allied_neighbours", W.cte(W.STD, W.EDGE, WAYS, HALF) + "SELECT w.id, type, direction, other, number, title, status FROM ways w JOIN half h ON h.id = w.other")
+@query("allied_neighbours", W.cte(W.STD, W.EDGE, WAYS, EVERY) + "SELECT w.id, type, direction, other, number, title, status FROM ways w JOIN held h ON h.id = w.other")
 def _(t: Tables):
-    return G.grouped_allied(W.edges(t), half(t)).select("id", "type", "direction", "other", "number", "title", "status")
+    return G.grouped_allied(W.edges(t), every(t)).select("id", "type", "direction", "other", "number", "title", "status")
 
 
-@query("allied_counts_all_types", W.cte(W.STD, W.EDGE, WAYS, HALF) + """SELECT id, type, sum(n)::BIGINT AS n FROM (SELECT w.id, type, 1 AS n FROM ways w JOIN half h ON h.id = w.other
- UNION ALL SELECT id, unnest(['NORMATIVE_REFERENCE','TEST_METHOD_FOR','TERMINOLOGY_FOR','SAFETY_REQUIREMENT_FOR','INSTALLATION_GUIDE_FOR','RELATED_PRODUCT']), 0 FROM half) GROUP BY id, type""")
+@query("allied_counts_all_types", W.cte(W.STD, W.EDGE, WAYS, EVERY) + """SELECT id, type, sum(n)::BIGINT AS n FROM (SELECT w.id, type, 1 AS n FROM ways w JOIN held h ON h.id = w.other
+ UNION ALL SELECT id, unnest(['NORMATIVE_REFERENCE','TEST_METHOD_FOR','TERMINOLOGY_FOR','SAFETY_REQUIREMENT_FOR','INSTALLATION_GUIDE_FOR','RELATED_PRODUCT']), 0 FROM held) GROUP BY id, type""")
 def _(t: Tables):
-    return G.allied_counts(W.edges(t), half(t), ["NORMATIVE_REFERENCE", "TEST_METHOD_FOR", "TERMINOLOGY_FOR",
+    return G.allied_counts(W.edges(t), every(t), ["NORMATIVE_REFERENCE", "TEST_METHOD_FOR", "TERMINOLOGY_FOR",
                                                  "SAFETY_REQUIREMENT_FOR", "INSTALLATION_GUIDE_FOR", "RELATED_PRODUCT"])
 
 
@@ -102,12 +108,12 @@ def _(t: Tables):
 REFN = "rn AS (SELECT concat('S', l_partkey) AS id, concat('IS ', 100 + l_suppkey % 100, ':', 1960 + l_linenumber) AS number FROM lineitem)"
 
 
-@query("related_with_outside", W.cte(W.STD, W.EDGE, WAYS, HALF, REFN) + """, a AS (SELECT DISTINCT w.id, other, number FROM ways w JOIN half h ON h.id = w.other WHERE direction = 'forward')
- SELECT DISTINCT id, 'depends_on' AS part, other, false AS outside_corpus FROM a UNION ALL SELECT DISTINCT w.id, 'referenced_by', other, false FROM ways w JOIN half h ON h.id = w.other WHERE direction = 'inverse' AND w.id IN (SELECT id FROM half)
+@query("related_with_outside", W.cte(W.STD, W.EDGE, WAYS, EVERY, REFN) + """, a AS (SELECT DISTINCT w.id, other, number FROM ways w JOIN held h ON h.id = w.other WHERE direction = 'forward')
+ SELECT DISTINCT id, 'depends_on' AS part, other, false AS outside_corpus FROM a UNION ALL SELECT DISTINCT w.id, 'referenced_by', other, false FROM ways w JOIN held h ON h.id = w.other WHERE direction = 'inverse' AND w.id IN (SELECT id FROM held)
  UNION ALL SELECT DISTINCT id, 'outside_corpus', number, true FROM rn WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = rn.id AND a.number = rn.number)""")
 def _(t: Tables):
     refs = t.lineitem.select(F.concat(F.lit("S"), "l_partkey").alias("id"), F.concat(F.lit("IS "), F.col("l_suppkey") % 100 + 100, F.lit(":"), F.col("l_linenumber") + 1960).alias("number"))
-    return G.related(half(t), W.edges(t), refs).select("id", "part", "other", "outside_corpus")
+    return G.related(every(t), W.edges(t), refs).select("id", "part", "other", "outside_corpus")
 
 
 @query("researched_flag", W.cte(W.STD, W.EDGE) + "SELECT id, id IN (SELECT source_id FROM edge) OR key % 11 = 0 AS researched FROM std")
@@ -122,15 +128,15 @@ def _(t: Tables):
     return G.dangling(W.edges(t), half(t))
 
 
-@query("overlap_pairs", W.cte(W.STD, W.EDGE, HALF) + """SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edge WHERE type = 'OVERLAPS_SCOPE_WITH'
- AND source_id IN (SELECT id FROM half) AND target_id IN (SELECT id FROM half)""")
+@query("overlap_pairs", W.cte(W.STD, W.EDGE, EVERY) + """SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM edge WHERE type = 'OVERLAPS_SCOPE_WITH'
+ AND source_id IN (SELECT id FROM held) AND target_id IN (SELECT id FROM held)""")
 def _(t: Tables):
-    return G.overlap_pairs(W.edges(t), half(t))
+    return G.overlap_pairs(W.edges(t), every(t))
 
 
-@query("incident_edges", W.cte(W.STD, W.EDGE, WAYS, HALF) + "SELECT id, other, type, direction FROM ways WHERE id IN (SELECT id FROM half)")
+@query("incident_edges", W.cte(W.STD, W.EDGE, WAYS, EVERY) + "SELECT id, other, type, direction FROM ways WHERE id IN (SELECT id FROM held)")
 def _(t: Tables):
-    return G.incident_edges(half(t), W.edges(t))
+    return G.incident_edges(every(t), W.edges(t))
 
 
 @query("certification_rules_for", W.cte(W.STD) + """, r AS (SELECT s_suppkey AS rule_id, CASE WHEN s_suppkey % 2 = 0 THEN concat('IS ', 100 + s_suppkey % 100, ':', 1961 + s_suppkey % 50) END AS number, CASE s_nationkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'small' ELSE 'promo' END AS category FROM supplier)

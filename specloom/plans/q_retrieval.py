@@ -113,20 +113,14 @@ def _(t: Tables):
     return hits.select("query", "doc", F.round("similarity", 6).alias("similarity"))
 
 
-@query("chunk_max_pool", W.cte(VEC) + """SELECT query, doc, round(CASE WHEN c IS NOT NULL AND c > similarity THEN c ELSE similarity END, 6) AS similarity
- FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM vsim) a
- LEFT JOIN (SELECT query, doc // 4 AS owner, max(0.88 * similarity) AS c FROM (SELECT *,
- row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM vsim) WHERE rank <= 20 GROUP BY query, doc // 4) b
- USING (query) WHERE a.rank <= 20 AND b.owner = a.doc OR (a.rank <= 20 AND b.owner IS NULL)
- UNION ALL SELECT query, doc, round(similarity, 6) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM vsim) a
- WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM vsim) b
- WHERE b.query = a.query AND b.rank <= 20 AND b.doc // 4 = a.doc)""")
+@query("chunk_max_pool", """WITH vec AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), ip AS (SELECT q.vec_id AS query, d.vec_id AS chunk, list_dot_product(q.e, d.e) AS s FROM vec q, vec d),
+ pooled AS (SELECT query, doc, max(round(s, 9)) AS similarity FROM (SELECT query, chunk AS doc, s FROM ip UNION ALL SELECT query, chunk // 4, 0.88 * s FROM ip) GROUP BY query, doc)
+ SELECT query, doc, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS rank FROM pooled) WHERE rank <= 20""")
 def _(t: Tables):
     v = W.vectors(t)
-    hits = dense.dense_search(v.select(F.col("doc").alias("query"), "vec"), v, 20).drop("rank")
-    owners = hits.select("query", F.floor(F.col("doc") / 4).alias("doc"), "similarity")
-    return dense.pool_chunks(hits, owners, V.CHUNK_DAMPING).select(
-        "query", "doc", F.round("similarity", 6).alias("similarity"))
+    chunks = v.select(F.floor(F.col("doc") / 4).alias("doc"), "vec")
+    hits = dense.pooled_search(v.select(F.col("doc").alias("query"), "vec"), v, chunks, 20, V.CHUNK_DAMPING)
+    return hits.select("query", "doc", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 @query("hybrid_rrf", W.cte(*BM25_TOP, *DENSE_TOP) + """SELECT query, doc, round(score, 6) AS score, rank FROM (
@@ -337,8 +331,8 @@ def _(t: Tables):
 
 @query("candidate_pool_depth", "SELECT count(*) AS n, greatest(30, least(120, floor(sqrt(count(*)))::BIGINT * 3)) AS pool FROM documents")
 def _(t: Tables):
-    n = F.count(F.lit(1))
-    return t.documents.agg(n.alias("n"), F.greatest(F.lit(30), F.least(F.lit(120), F.floor(F.sqrt(n)) * 3)).cast("bigint").alias("pool"))
+    n = t.documents.count()
+    return t.documents.agg(F.count(F.lit(1)).alias("n")).withColumn("pool", F.lit(fusion.candidate_pool_size(n)).cast("bigint"))
 
 
 @query("candidate_pool_dump", W.cte(*BM25_TOP) + """SELECT query, count(*) AS n, string_agg(doc::VARCHAR, ',' ORDER BY rank) AS docs FROM sparse WHERE rank <= 20 GROUP BY query""")

@@ -5,6 +5,9 @@ Each SQL constant is one or more common table expressions; ``cte`` joins them in
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ def cte(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts) + "\n"
 
 
+def stored(sql: str, *names: str) -> str:
+    """The statement with these common tables computed once instead of in each use."""
+    return reduce(lambda s, n: re.sub(rf"(?<![\w.]){n} AS \(SELECT", f"{n} AS MATERIALIZED (SELECT", s, count=1), names, sql)
+
+
 # ---- documents and queries -------------------------------------------------------------------
 
 def bench_queries(t: Tables) -> DataFrame:
@@ -42,25 +50,41 @@ DOCS = """dc AS (SELECT doc_id AS doc, text, source, lang,
 
 
 def qrels(t: Tables) -> DataFrame:
-    """(query, doc): documents that contain the benchmark passage.
+    return containing(t.benchmark.select(F.col("item_id").alias("query"), "text"),
+                      spread(t.documents, "doc_id").select(F.col("doc_id").alias("doc"), "text"))
+
+
+def containing(passages: DataFrame, docs: DataFrame, longest: int = 8) -> DataFrame:
+    """(query, doc): documents whose text contains the passage anywhere. A blank passage is in none.
 
-    Containment needs a text test, so candidate pairs come from an equi-join on the passage's first
-    eight words (a run of words of the document); ``contains`` then confirms the few pairs left.
+    Containment needs a text test, so candidates come from an equi-join; ``contains`` confirms them. A passage's first and
+    last words may go on in the document, the ones between them are whole words of it: the key is the run of the first
+    of these, at most ``longest``. A passage of one or two words has none; its longer word is looked for inside the document's words.
     """
-    n = 8
-    first = F.array_join(F.slice(F.split("text", r"\s+"), 1, n), " ")
-    q = t.benchmark.select(F.col("item_id").alias("query"), "text", F.xxhash64(first).alias("run"))
-    ws = spread(t.documents, "doc_id").select("doc_id", F.split("text", r"\s+").alias("ws"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - n + 1, F.lit(1))),
-                       lambda i: F.xxhash64(F.array_join(F.slice("ws", i, n), " ")))
-    d = ws.select("doc_id", F.explode_outer(runs).alias("run"))
-    pairs = d.join(q.select("query", "run"), "run").select("query", "doc_id").distinct()
-    checked = pairs.join(q.select("query", "text"), "query").join(
-        t.documents.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
-    return checked.filter(F.col("doc_text").contains(F.col("text"))).select("query", F.col("doc_id").alias("doc"))
-
-
-QRELS = """qrels AS (SELECT b.item_id AS query, d.doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
+    ws = passages.filter(F.col("text").rlike(r"\S")).withColumn("ws", F.split("text", r"\s+"))
+    words = docs.select("doc", F.split("text", r"\s+").alias("ws"))
+
+    inner = ws.filter(F.size("ws") > 2).withColumn("n", F.least(F.size("ws") - 2, F.lit(longest)))
+    runs = inner.select("query", "n", F.xxhash64(F.array_join(F.slice("ws", F.lit(2), F.col("n")), " ")).alias("run"))
+    lengths = inner.agg(F.collect_set("n").alias("l")).select("l").scalar()  # at most ``longest`` numbers
+    sized = words.withColumn("n", F.explode(lengths)).filter(F.size("ws") >= F.col("n"))
+    found = F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1),
+                        lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.col("n")), " ")))
+    by_run = sized.select("doc", "n", F.explode_outer(found).alias("run")).join(runs, ["n", "run"]).select("query", "doc")
+
+    longer = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("piece"))))
+    short = ws.filter(F.size("ws") <= 2).withColumn("l", longer).select("query", "l.n", "l.piece")
+    sizes = short.agg(F.collect_set("n").alias("l")).select("l").scalar()  # word lengths
+    one = words.withColumn("n", F.explode(sizes)).select("doc", "n", F.explode(F.array_distinct("ws")).alias("w")).filter(F.length("w") >= F.col("n"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.col("w").substr(i, F.col("n")))
+    by_piece = one.select("doc", F.explode(pieces).alias("piece")).join(short, "piece").select("query", "doc")
+
+    pairs = by_run.unionByName(by_piece).distinct()
+    checked = pairs.join(passages, "query").join(docs.select("doc", F.col("text").alias("doc_text")), "doc")
+    return checked.filter(F.col("doc_text").contains(F.col("text"))).select("query", "doc").distinct()
+
+
+QRELS = """qrels AS (SELECT DISTINCT b.item_id AS query, d.doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE regexp_matches(b.text, '\\S'))"""
 
 
 def vectors(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from specloom.operators import dense, fusion, metrics
 from specloom.operators.bm25 import bm25_search, build_bm25, full_text_search
 from specloom.operators.ranking import exact_rank, topk
+from specloom.plans import views as W
 
 
 def brute_bm25(docs, query):
@@ -186,3 +187,44 @@ def test_dense_search_null_zero_tied_and_short_vectors(spark):
     assert got == [(1, 1, 1), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
     with pytest.raises(Exception, match="another length"):
         dense.dense_search(queries, docs.unionByName(spark.createDataFrame([(9, [1.0])], docs.schema)), 2).collect()
+
+
+def test_containing_finds_every_place(spark):
+    docs = [(1, "see (alpha beta gamma), then more"), (2, "alpha  beta gamma"), (3, "xalpha beta gammay end"), (4, "alpha gamma beta"), (5, None),
+            (6, ""), (7, "one two three four five six seven eight nine ten"), (8, "zone two three four five six seven eight nine tent"), (9, "prealphapost")]
+    passages = [(1, "alpha beta gamma"), (2, "alpha  beta gamma"), (3, "lph"), (4, "alpha beta"), (5, "one two three four five six seven eight nine ten"),
+                (6, " "), (7, ""), (8, None), (9, "gamma), "), (10, "(alpha"), (11, "two three four five six seven eight nine te")]
+    found = W.containing(spark.createDataFrame(passages, "query long, text string"), spark.createDataFrame(docs, "doc long, text string"))
+    want = {(q, d) for q, p in passages for d, t in docs if p and p.strip() and t and p in t}
+    rows = [tuple(r) for r in found.select("query", "doc").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_containing_in_no_documents(spark):
+    none = spark.createDataFrame([], "doc long, text string")
+    assert W.containing(spark.createDataFrame([(1, "a b c")], "query long, text string"), none).count() == 0
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_pooled_search_reads_every_chunk(spark, block_rows, monkeypatch):
+    rng = np.random.default_rng(5)
+    q, own, chunks = rng.normal(size=(4, 6)), rng.normal(size=(9, 6)), rng.normal(size=(60, 6))
+    owner = rng.integers(0, 14, 60)  # owners from 9 on have chunks only
+    frame = lambda ids, vecs, key: spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vecs)], f"{key} long, vec array<double>")
+    monkeypatch.setattr(dense, "_cut", lambda n, rows: max(1, -(-n // block_rows)))
+    hits = dense.pooled_search(frame(range(4), q, "query"), frame(range(9), own, "doc"), frame(owner, chunks, "doc"), 5, 0.88).collect()
+    for i in range(4):
+        best = {}
+        for d, v in [*zip(range(9), own), *zip(owner.tolist(), 0.88 * chunks)]:
+            best[d] = max(best.get(d, -np.inf), round(float(q[i] @ v), 9))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        got = sorted((r["rank"], r["doc"], r["similarity"]) for r in hits if r["query"] == i)
+        assert [g[1] for g in got] == [w[0] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[1] for w in want])
+
+
+def test_pool_chunks_keeps_owners_without_a_hit(spark):
+    own = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.9)], "query long, doc long, similarity double")
+    chunks = spark.createDataFrame([(1, 1, 1.0), (1, 3, 0.5)], "query long, doc long, similarity double")
+    got = {r["doc"]: round(r["similarity"], 6) for r in dense.pool_chunks(own, chunks, 0.88).collect()}
+    assert got == {1: 0.88, 2: 0.9, 3: 0.44}
