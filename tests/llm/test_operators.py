@@ -313,3 +313,10 @@ def test_pipeline_equals_its_stages(spark):
     assert {d for d, _ in texts(clean)} == {d for d, t in texts(once) if not any(b in t for b in items)}
     out = p.run(spark, FOLDER)
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
+
+
+def test_smallest_hashes_are_those_of_a_full_ranking(spark):
+    rows = [("en", zlib.crc32(str(i).encode()) * 2**31 - 2**62) for i in range(3000)] + [("de", 2**63 - 5)] * 900 + [("fr", -(2**63)), ("fr", 7)]
+    n = Counter(lang for lang, _ in rows)
+    found = langid.smallest_hashes(spark.createDataFrame(rows, "lang string, h long"), n, 100)
+    assert found == {lang: sorted(h for x, h in rows if x == lang)[:100][-1] for lang in n}
