@@ -203,8 +203,14 @@ def simhash_groups(docs: DataFrame, most_bits: int = 3, size: int = 3, doc_id: s
 
 def drop_near_copies(docs: DataFrame, most_bits: int = 3, size: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Keep of each group the row with the smallest doc_id; of rows that repeat an id, the one with the smallest key;
-    of rows that repeat both, one. All columns stay. The keys to drop are joined, not collected."""
-    rows = cut(group_rows(docs, most_bits, size, doc_id, text).select("key", (F.col("key") == F.col("least.key")).alias("first")))
+    of rows that repeat both, one. All columns stay."""
+    return keep_first(docs, group_rows(docs, most_bits, size, doc_id, text).select("key", "least"), doc_id, text)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are not the ``least`` of their group (``groups``: key, least). The keys to drop are
+    joined, not collected."""
+    rows = cut(groups.select("key", (F.col("key") == F.col("least.key")).alias("first")))
     keys = rows.groupBy("key").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
     gone = cut(keys.where(~F.col("first") | (F.col("n") > 1)).select(F.col("key").alias("_gone")))
     again = cut(keys.where(F.col("first") & (F.col("n") > 1)).select(F.col("key").alias("_again")))

@@ -320,3 +320,38 @@ def test_smallest_hashes_are_those_of_a_full_ranking(spark):
     n = Counter(lang for lang, _ in rows)
     found = langid.smallest_hashes(spark.createDataFrame(rows, "lang string, h long"), n, 100)
     assert found == {lang: sorted(h for x, h in rows if x == lang)[:100][-1] for lang in n}
+
+
+def test_pipeline_drops_planted_near_copies(spark):
+    """Each text with edited copies, some above and some below a five-word similarity of 0.8, and a large group, against all pairs."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    rows = []
+
+    def put(words):
+        rows.append((len(rows), " ".join(words)))
+
+    for n, edits in [(60, 1), (60, 2), (60, 3), (100, 1), (100, 3), (300, 1), (300, 6), (300, 8), (300, 20), (2000, 30)] * 3:
+        base = [f"w{x}" for x in rng.integers(0, 5000, n)]
+        put(base)
+        for _ in range(2):
+            copy = list(base)
+            for at in rng.choice(n, edits, replace=False):
+                copy[at] = f"e{rng.integers(0, 9999)}"
+            put(copy)
+    base = [f"g{x}" for x in range(200)]
+    for i in range(60):
+        put([f"x{i}" if j in rng.choice(200, 4, replace=False) else w for j, w in enumerate(base)])
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {min(i for i in range(len(rows)) if root[i] == r) for r in root}
+    assert len(want) < len(rows) - 60
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "Two  words"), (902, "two words"), (None, "two words")]
+    kept = p.near_copy_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", ann.F.lit("x")), FOLDER)
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want) + [900, 902]
