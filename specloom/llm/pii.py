@@ -34,7 +34,7 @@ NAME = r"[A-ZÄÖÜÉÈÁÍÓÚÑА-ЯЁ][a-zäöüßéèêëçáíóúñа-яё
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "key": r"AKIA[0-9A-Z]{16}",
-    "secret": r"(?<![A-Za-z])(?:token|password|passwd|secret|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{8,}",
+    "secret": r"(?<![A-Za-z])(?i:token|password|passwd|secret|api_key|apikey)\s*[=:]\s*[\"']?[A-Za-z0-9_\-]{8,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)",
     "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
@@ -42,7 +42,8 @@ PATTERNS = {
     "name": r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? " + NAME + r"(?: " + NAME + ")?",
 }
 DETECT = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
-MAYBE = re.compile(r"[0-9@]|" + "|".join(f"{t}\\.? " for t in TITLES))
+#: A cheap pre-test, from what each pattern can't do without: a digit, an @, or one of these.
+MAYBE = re.compile(r"[\d@]|AKIA|(?i:token|password|passwd|secret|api_?key)\s*[=:]|" + "|".join(f"{t}\\.? " for t in TITLES))
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
