@@ -1,9 +1,9 @@
 """License scan by diagonal voting, in DataFrame functions only.
 
 All word pairs of a text (k-grams with k = 2) are joined to the template positions that hold the same pair. A hit votes
-for the diagonal (position in the text less position in the template). Votes are summed by diagonal, diagonals next
-to each other are merged (words put in or left out shift the diagonal), and a merged span is verified: it must cover
-enough of the template's k-grams, and a short phrase all of them, that is, its words stand consecutively.
+for the diagonal (position in the text less position in the template). Diagonals that differ by a few words are
+merged (words put in or left out shift the diagonal), and a merged span is verified: it must cover
+enough of the template's k-grams, each counted once, and a short phrase all of them, that is, its words stand consecutively.
 """
 
 from __future__ import annotations
@@ -90,16 +90,17 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, least: fl
     hits = scan_hits(docs, templates, doc_id, text)
     by = ["doc_id", "key", "n_words", "template", "label", "base", "wanted"]
     diagonals = hits.withColumn("diagonal", F.col("pos") - F.col("at")).groupBy(*by, "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        F.count(F.lit(1)).alias("votes"), F.collect_set("at").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     # a repeated row doubles its votes: the sentinel's count says how often the row is there
     rows_of = Window.partitionBy("doc_id", "key")
     diagonals = diagonals.withColumn("times", F.max(F.when(F.col("template") == "", F.col("votes"))).over(rows_of))
-    near = Window.partitionBy("doc_id", "key", "template").orderBy("first", "diagonal")
-    starts = (F.col("diagonal") - F.lag("diagonal").over(near) > slack) | (F.lag("diagonal").over(near) - F.col("diagonal") > slack) | (F.col("first") - F.lag("last").over(near) > slack + 3)
+    # all hits of a diagonal stand within one template's length, so diagonals near each other are near in the text
+    near = Window.partitionBy("doc_id", "key", "template").orderBy("diagonal")
+    starts = F.col("diagonal") - F.lag("diagonal").over(near) > slack
     exact = F.col("base")  # each diagonal of a phrase is one place, so these are not merged
     spans = diagonals.withColumn("island", F.sum(F.when(exact | F.coalesce(starts, F.lit(True)), 1).otherwise(0)).over(near.rowsBetween(Window.unboundedPreceding, 0)))
     merged = spans.groupBy("doc_id", "key", "n_words", "template", "label", "base", "wanted", "times", "island").agg(
-        (F.sum("votes") / F.max("times")).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("wanted"))
     good = merged.where((F.col("template") == "") | F.when(F.col("base"), F.col("votes") >= F.col("wanted")).otherwise(cover >= least))
     real, base = F.col("template") != "", (F.col("template") != "") & F.col("base")

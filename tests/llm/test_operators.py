@@ -366,3 +366,18 @@ def test_each_kind_of_entity_is_found_alone():
     for kind, given in alone.items():
         for t in given:
             assert [k for *_, k, _, _ in pii.mentions(t)] == [kind], t
+
+
+def test_license_notices_with_a_word_put_in_at_any_place(spark):
+    """Of a notice with n word pairs one is lost, so those are found whose rest is 0.85 or more."""
+    wanted = {r["template"]: r["wanted"] for r in licenses.template_table(spark).where("not base").collect()}
+    rows, want = [], {}
+    for notice, label in licenses.NOTICES.items():
+        words = notice.split()
+        for at in range(len(words) + 1):
+            want[len(rows)] = label if at in (0, len(words)) or (wanted[notice] - 1) / wanted[notice] >= 0.85 else None
+            rows.append((len(rows), " ".join(["x", *words[:at], "kindly", *words[at:], "y"])))
+    rows += [(9000, "the license you may obtain the license at " * 30), (9001, rows[0][1]), (9001, rows[0][1])]
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in out[i]["labels"].split(",") for i, label in want.items() if label)
+    assert out[9000]["labels"] == "" and out[9001]["labels"] == out[0]["labels"]
