@@ -200,9 +200,9 @@ def expected(model: Model, ids: np.ndarray, lengths: np.ndarray, counts: tuple,
     return float(total.sum())
 
 
-def fit(classes: DataFrame, share: np.ndarray, states: int, warm_rounds: int, warm_docs: int, rounds: int, seed: int) -> Model:
-    """Baum-Welch. ``warm_rounds`` over at most ``warm_docs`` learned documents (smallest hash of the id) only
-    choose the start; each of the ``rounds`` that give the model sums the counts of every learned document."""
+def fit(classes: DataFrame, share: np.ndarray, states: int, warm_rounds: int, warm_docs: int, rounds: int, seed: int, settled: float) -> Model:
+    """Baum-Welch from seeded noise: each round sums the counts of every learned document, until a round adds less than ``settled``
+    of the log likelihood, ``rounds`` at most. On request ``warm_rounds`` over about ``warm_docs`` documents (smallest hash of the id) come first."""
     width = len(share)
     learned = classes.where("learned")
 
@@ -227,17 +227,21 @@ def fit(classes: DataFrame, share: np.ndarray, states: int, warm_rounds: int, wa
     if warm_rounds:
         n = max(1, learned.count())
         near = int(min(1.0, warm_docs / n) * (1 << 20)) + 1
-        some = learned.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < near).select("classes").limit(2 * warm_docs)
+        some = learned.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < near).select("classes")
         some = cut(some.repartition(8))
-        for _ in range(warm_rounds):
+        for _ in range(warm_rounds if some.limit(1).count() else 0):
             model, _ = round_over(some, model)
+    before = -np.inf
     for _ in range(rounds):
-        model, _ = round_over(learned, model)
+        model, log = round_over(learned, model)
+        if log - before < settled * abs(log):
+            break
+        before = log
     return model
 
 
 def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, states: int = 8, frequent: int = 2000, hashed: int = 512,
-               warm_rounds: int = 10, warm_docs: int = 1000, rounds: int = 2, seed: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               warm_rounds: int = 0, warm_docs: int = 1000, rounds: int = 12, seed: int = 7, settled: float = 1e-3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Score every whole text; learn from the documents outside fold ``held``.
 
     Rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null and empty texts hold the end
@@ -275,7 +279,7 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, states: int = 8,
     texts = tokens.where("kind = 0").select(F.col("block").alias("text_block"), "doc_id", "learned", "ids")
     classes = cut(texts.groupBy("text_block").cogroup(entries.groupBy("block")).applyInPandas(encode, CLASS_SCHEMA))
     share = mass / total if total else np.full(width, 1 / width)
-    model = fit(classes, share, states, warm_rounds, warm_docs, rounds, seed) if total else Model.drawn(share, states, seed)
+    model = fit(classes, share, states, warm_rounds, warm_docs, rounds, seed, settled) if total else Model.drawn(share, states, seed)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -381,3 +381,10 @@ def test_license_notices_with_a_word_put_in_at_any_place(spark):
     out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(label in out[i]["labels"].split(",") for i, label in want.items() if label)
     assert out[9000]["labels"] == "" and out[9001]["labels"] == out[0]["labels"]
+
+
+def test_language_model_learns_from_all_documents_in_each_round(docs):
+    """A bound on the documents of a start has no effect unless a start is asked for."""
+    some = docs.limit(120).cache()
+    runs = [sorted((r["doc_id"] or 0, round(r["score"], 6)) for r in hmm.hmm_scores(some, warm_docs=n, rounds=3, frequent=100, hashed=16).collect()) for n in (5, 1000)]
+    assert runs[0] == runs[1]
