@@ -10,6 +10,7 @@ groups, title and script stay. So one entity has one surrogate everywhere, and t
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -28,9 +29,18 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Ксения Мария Наталья Ольга Полина".split(),
 }
 SYLLABLES = {"latin": "ba den fo gar hel ko lin mar nov or pel ros sen tal ver win zan dor mil kes".split(), "cyrillic": "ба ден фо гар хел ко лин мар нов ор пел рос сен тал вер вин зан дор мил кес".split()}
-GENDER = {name: g for (_, g), names in GIVEN.items() for name in names}
+GENDER = {name.casefold(): g for (_, g), names in GIVEN.items() for name in names}
+#: Words in lower case that stand inside names and stay.
+PARTICLES = frozenset("van von der den de del della di da dos du la le el al bin ibn ter ten zu zur af av".split())
 
-NAME = r"[A-ZÄÖÜÉÈÁÍÓÚÑА-ЯЁ][a-zäöüßéèêëçáíóúñа-яё]+"
+TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
+CAPITAL = "[" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) in ("Lu", "Lt")) + "]"
+LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+#: A part of a name: initials, or a capital and letters with inner capitals, hyphens and apostrophes (a closing 's is none of it).
+PART = rf"(?!{TITLE}(?!{LETTER}))(?:{CAPITAL}\.(?:-?{CAPITAL}\.)*|(?:[dl]['’])?{CAPITAL}{LETTER}*(?:['’\-](?!s(?!{LETTER})){LETTER}+)*)"
+SMALL = "(?:" + "|".join(sorted(PARTICLES)) + rf")(?!{LETTER})"
+LED = rf"(?:{SMALL}[ \u00a0]+){{0,3}}{PART}"
+TOKEN = re.compile(rf"(?<!\w)(?:{SMALL}|{PART})")
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "key": r"AKIA[0-9A-Z]{16}",
@@ -39,28 +49,68 @@ PATTERNS = {
     "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)",
-    "name": r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? " + NAME + r"(?: " + NAME + ")?",
+    "name": rf"(?<!\w)(?:{TITLE}(?:\.[ \u00a0]*|[ \u00a0]+))+(?P<who>{LED}(?:(?:[ \u00a0]+|(?<=\.)){LED})*)",
 }
 DETECT = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 #: A cheap pre-test, from what each pattern can't do without: a digit, an @, or one of these.
-MAYBE = re.compile(r"[\d@]|AKIA|(?i:token|password|passwd|secret|api_?key)\s*[=:]|" + "|".join(f"{t}\\.? " for t in TITLES))
+MAYBE = re.compile(r"[\d@]|AKIA|(?i:token|password|passwd|secret|api_?key)\s*[=:]|" + TITLE + r"[. \u00a0]")
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
+def parts_of(name: str) -> list[str]:
+    """The parts of a name without their case."""
+    return [unicodedata.normalize("NFC", m[0]).casefold().replace("’", "'") for m in TOKEN.finditer(name)]
+
+
 def mentions(text: str | None) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, kind, norm, mention) of each entity. Of a secret only the value is the entity."""
+    """(start, end, kind, norm, mention) of each entity, in order. Of a secret only the value is the entity. A name found
+    by its title is also found without, whole or by one of its words."""
     if not text or not MAYBE.search(text):
         return
+    found = list(titled(text))
+    names = {norm: tuple(norm.split(" ")[1:]) for _, _, kind, norm, _ in found if kind == "name"}
+    yield from sorted([*found, *untitled(text, names, found)]) if names else found
+
+
+def untitled(text: str, names: dict[str, tuple], found: list[tuple]) -> Iterator[tuple[int, int, str, str, str]]:
+    """Mentions of ``names`` outside of what is ``found``: the longest at each place; of a word of several names, the one alone, else the first."""
+    known: dict[tuple, str] = {}
+    for norm, parts in names.items():
+        known.setdefault(parts, norm)
+    for norm, parts in names.items():
+        for part in reversed(parts):
+            if part not in PARTICLES and not part.endswith(".") and len(part) > 1:
+                known.setdefault((part,), norm)
+    longest = max(map(len, known))
+    tokens, at = [], 0
+    for m in TOKEN.finditer(text):
+        while at < len(found) and found[at][1] <= m.start():
+            at += 1
+        if at == len(found) or m.end() <= found[at][0]:
+            tokens.append((m.start(), m.end(), parts_of(m[0])[0]))
+    i = 0
+    while i < len(tokens):
+        n = 1
+        while n < longest and i + n < len(tokens) and not text[tokens[i + n - 1][1]:tokens[i + n][0]].strip(" \u00a0"):
+            n += 1
+        while n and tuple(t[2] for t in tokens[i:i + n]) not in known:
+            n -= 1
+        if n:
+            start, end = tokens[i][0], tokens[i + n - 1][1]
+            yield start, end, "name", known[tuple(t[2] for t in tokens[i:i + n])], text[start:end]
+        i += max(1, n)
+
+
+def titled(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     for m in DETECT.finditer(text):
         kind, start, found = m.lastgroup, m.start(), m[0]
         if kind == "secret":
             value = re.search(r"[A-Za-z0-9_\-]+$", found)
             start, found = start + value.start(), value[0]
         elif kind == "name":
-            start, found = start + found.index(" ") + 1, found[found.index(" ") + 1:]
-            title = m[0].split(" ")[0].rstrip(".")
-            first = found.split(" ")[0]
-            yield start, m.end(), kind, f"{TITLES[title] or GENDER.get(first, 'm')} {found}", found
+            who, parts = m["who"], parts_of(m["who"])
+            told = [TITLES[t] for t in re.findall(TITLE, text[m.start():m.start("who")]) if TITLES[t]]
+            yield m.start("who"), m.end(), kind, " ".join([told[0] if told else GENDER.get(parts[0], "m"), *parts]), who
             continue
         digits = re.sub(r"\D", "", found)
         if kind == "phone" and not 7 <= len(digits) <= 15:
@@ -94,8 +144,18 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     if kind == "name":
         gender, *parts = norm.split(" ")
         script = "cyrillic" if re.match("[А-Яа-яЁё]", parts[0]) else "latin"
-        family = lambda: "".join(pick(SYLLABLES[script]) for _ in range(3)).capitalize()
-        return f"{gender} {family()}" if len(parts) == 1 else f"{gender} {pick(GIVEN[script, gender])} {family()}"
+        words = [i for i, part in enumerate(parts) if part not in PARTICLES and not part.endswith(".")]
+        out = []
+        for i, part in enumerate(parts):
+            if part.endswith("."):
+                out.append("".join(pick(GIVEN[script, gender])[0].casefold() if c.isalpha() else c for c in part))
+            elif i not in words:
+                out.append(part)
+            elif i == words[-1]:  # longer after many clashes
+                out.append("".join(pick(SYLLABLES[script]) for _ in range(3 + attempt // 5)))
+            else:
+                out.append(pick([g.casefold() for g in GIVEN[script, gender] if g.casefold() != part]))
+        return " ".join([gender, *out])
     if kind == "key":
         return "AKIA" + "".join(pick(UPPER + DIGITS) for _ in norm[4:])
     if kind == "secret" and re.fullmatch("[0-9a-f]+", norm):
@@ -108,14 +168,25 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     return f"{swap(local)}@{swap(host)}.{top}"
 
 
-def written(kind: str, mention: str, replacement: str) -> str:
-    """The surrogate norm in the mention's format."""
+def written(kind: str, mention: str, replacement: str, norm: str = "") -> str:
+    """The surrogate norm in the mention's format. A name may be mentioned by some parts of its ``norm``."""
+    if kind == "name":
+        said, real, new = parts_of(mention), norm.split(" ")[1:], iter(replacement.split(" ")[1:])
+        if len(said) < len(real):
+            new = iter(replacement.split(" ")[1 + real.index(said[0]):])
+        return TOKEN.sub(lambda m: cased(next(new), m[0]), mention)
     if kind in ("card", "phone", "ssn"):
         digits = iter(replacement)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "email":
         return "".join(r.upper() if c.isupper() else r for c, r in zip(mention, replacement)) if len(mention) == len(replacement) else replacement
-    return replacement[2:] if kind == "name" else replacement
+    return replacement
+
+
+def cased(part: str, like: str) -> str:
+    if like in PARTICLES:
+        return part
+    return part.upper() if like.isupper() and len(like) > 1 else part.capitalize()
 
 
 def entity_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -186,7 +257,7 @@ def replace_pii(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
                         if len(known) > 100_000:
                             known.clear()
                         known[who] = surrogate(key, *who)
-                    out += [t[at:start], written(kind, mention, known[who])]
+                    out += [t[at:start], written(kind, mention, known[who], norm)]
                     at, n = end, n + 1
                     seen.add(kind)
                 texts.append("".join([*out, t[at:]]) if out else t)

@@ -388,3 +388,20 @@ def test_language_model_learns_from_all_documents_in_each_round(docs):
     some = docs.limit(120).cache()
     runs = [sorted((r["doc_id"] or 0, round(r["score"], 6)) for r in hmm.hmm_scores(some, warm_docs=n, rounds=3, frequent=100, hashed=16).collect()) for n in (5, 1000)]
     assert runs[0] == runs[1]
+
+
+def test_whole_names_are_replaced_with_and_without_their_title(spark):
+    names = ["Mrs. Anna Maria Schmidt", "Dr. Müller-Lüdenscheidt", "Mr. Ronald McDonald", "Mr. Sean O'Brien", "Mr John SMITH", "Mr. J. Smith", "Frau Łucja Nowak",
+             "Herr Ludwig van Beethoven", "Prof. Dr. Eva Kern", "Г-жа Анна Петрова"]
+    rows = []
+    for i, name in enumerate(names):
+        who = re.sub(r"^(?:(?:Mrs|Mr|Dr|Prof|Frau|Herr|Г-жа)\b\.? )+", "", name)
+        rows.append((i, f"we saw {name}'s car; later {who} left and {who.split()[-1]} called", who))
+    out = {r["doc_id"]: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, who string"), b"key").collect()}
+    for i, t, who in rows:
+        got = out[i]["text"]
+        for part in who.split():
+            assert part == "van" or not re.search(rf"(?<!\w){re.escape(part)}(?!\w)", got), got
+        new = re.search(r"later (.+) left and (.+) called", got)
+        assert f" {new[1]}'s car" in got and new[1].split()[-1] == new[2] and out[i]["n_entities"] == 3
+    assert out[4]["text"].split()[3].istitle() and re.search(r"later \w+ [A-Z]+ left", out[4]["text"])
