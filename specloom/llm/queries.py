@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import ann, chat, decontam, hmm, langid, licenses, mixing, pii, simhash, tokens
+from specloom.llm import ann, chat, decontam, hmm, langid, lexical, licenses, merkle, mixing, pii, simhash, tokens, warc
 from specloom.llm.common import read_table
 
 
@@ -84,9 +84,93 @@ def op10_graph_search(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return lexical.rank_documents(docs, read_table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+OP11_SQL = r"""
+WITH terms AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)),
+asked AS (
+  SELECT item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+q AS (SELECT item, item_id, term, count(*) AS c FROM asked GROUP BY ALL),
+tf AS (SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT row, count(*) AS n FROM terms GROUP BY row),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, totals),
+m AS (SELECT row, 25 + (75 * n * docs) // len AS m FROM sizes, totals),
+scored AS (
+  SELECT item, item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY item, item_id, row, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return merkle.verified_manifest(docs, claimed=merkle.changed_leaf(merkle.FIELDS))
+
+
+OP12_SQL = """
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+rows AS (
+  SELECT row_number() OVER () AS id, *,
+    doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS hit FROM documents, bits),
+framed AS (
+  SELECT id, doc_id, lang, hit, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+    coalesce(strlen(text) || ':' || text, '-') AS z FROM rows),
+leaves AS (
+  SELECT id, doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+    sha256(a || coalesce(strlen((n_chars + hit::BIGINT)::VARCHAR) || ':' || (n_chars + hit::BIGINT), '-') || z) AS claimed FROM framed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT 0 AS level, lang, i, n, leaf AS digest FROM ranked
+  UNION ALL SELECT level + 1, lang, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY level, lang, i // 2, n),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+uppers AS (
+  SELECT 0 AS level, i, n, subroot AS digest FROM subroots
+  UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM uppers WHERE n > 1 GROUP BY level, i // 2, n),
+way AS (
+  SELECT id, lang, 0 AS level, i, n, claimed AS digest, '' AS proof FROM ranked
+  UNION ALL SELECT w.id, w.lang, w.level + 1, w.i // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.i % 2 = 0 THEN w.digest || coalesce(s.digest, '') ELSE s.digest || w.digest END), w.proof || coalesce(s.digest, '')
+  FROM way w LEFT JOIN nodes s ON s.level = w.level AND s.lang IS NOT DISTINCT FROM w.lang AND s.i = xor(w.i, 1) WHERE w.n > 1),
+last_way AS (
+  SELECT w.id, w.lang, 0 AS level, s.i, s.n, w.digest, w.proof FROM way w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL SELECT w.id, w.lang, w.level + 1, w.i // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.i % 2 = 0 THEN w.digest || coalesce(s.digest, '') ELSE s.digest || w.digest END), w.proof || coalesce(s.digest, '')
+  FROM last_way w LEFT JOIN uppers s ON s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1)
+SELECT r.doc_id, r.leaf, s.subroot, u.digest AS root, sha256(w.proof) AS proof_sha256, w.digest AS folded_root, w.digest = u.digest AS verified
+FROM ranked r JOIN last_way w ON w.id = r.id AND w.n = 1 JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang CROSS JOIN (SELECT digest FROM uppers WHERE n = 1) u
+"""
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+OP13_SQL = """
+WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+hashed AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex FROM rows),
+named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda g:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, (5 * (g // 4) + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (g % 4))::BIGINT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest FROM hashed),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS keep FROM named)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to FROM kept
+"""
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_language_id, op3_pii_surrogates, op4_decontamination, op5_chat_format, op6_token_output, op7_hmm_scoring, op8_simhash, op9_license_scan, op10_graph_search)}
+    f.__name__: f for f in (op1_mixing, op2_language_id, op3_pii_surrogates, op4_decontamination, op5_chat_format, op6_token_output, op7_hmm_scoring, op8_simhash, op9_license_scan, op10_graph_search, op11_lexical_search, op12_merkle_manifest, op13_warc)}
 
 #: The others train models, hash with XXH64, search approximately or write files, which SQL can't express; tests hold
 #: them against brute force.
-LLM_ORACLE: dict[str, str] = {"op5_chat_format": OP5_SQL}
+LLM_ORACLE: dict[str, str] = {"op5_chat_format": OP5_SQL, "op11_lexical_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_warc": OP13_SQL}
