@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from specloom.functions import vocab as V
 from specloom.functions.text import tokens
+from specloom.operators import blocked
 from specloom.operators.ranking import salted_join, topk
 from specloom.session import cut_lineage
 
@@ -47,7 +48,7 @@ def build_bm25(docs: DataFrame, key: str, text: str, variant: str = "alnum") ->
     n = docs.select(key).agg(F.count(F.lit(1)).alias("n"))
     length = postings.agg(F.sum("tf").alias("length")).select("length").scalar()
     totals = n.select("n", (F.coalesce(length, F.lit(0)) / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
-    return Bm25Index(postings, term_stats(postings, totals), totals, variant)
+    return Bm25Index(postings, cut_lineage(term_stats(postings, totals)), totals, variant)
 
 
 def term_stats(postings: DataFrame, totals: DataFrame) -> DataFrame:
@@ -78,12 +79,12 @@ def bm25_scores(queries: DataFrame, index: Bm25Index, key: str, text: str, salts
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int, key: str, text: str,
-                positive_only: bool = True, salts: int = 8) -> DataFrame:
-    """Top ``k`` documents per query as (query, doc, score, rank); ties go to the smaller doc."""
-    scores = bm25_scores(queries, index, key, text, salts)
-    if positive_only:
-        scores = scores.filter(F.col("score") > 0)
-    return topk(scores, ["query"], ["-score", "doc"], k)
+                positive_only: bool = True, **blocks) -> DataFrame:
+    """Top ``k`` documents per query as (query, doc, score, rank); ties go to the smaller doc.
+
+    Exact, but no pair of a query and a document is listed unless it can be a result (see ``blocked``).
+    """
+    return blocked.search(index, query_terms(queries, key, text, index.variant), k, positive_only, **blocks)
 
 
 def full_text_search(queries: DataFrame, index: Bm25Index, k: int, key: str, text: str) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from specloom.functions import vocab as V
 from specloom.functions.text import is_latin
-from specloom.operators import dense
-from specloom.operators.bm25 import Bm25Index, bm25_scores
-from specloom.operators.ranking import exact_rank, maxnorm, topk
+from specloom.operators import blocked, dense
+from specloom.operators.bm25 import Bm25Index, query_terms
+from specloom.operators.patterns import pattern_hits
+from specloom.operators.ranking import maxnorm, topk
 from specloom.session import cut_lineage
 
 
@@ -37,35 +38,21 @@ def weighted_fusion(dense_hits: DataFrame, sparse_hits: DataFrame, top: int,
 def alias_hits(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """Whole-phrase alias hits as (query, doc, alias_score).
 
-    ``queries(query, text)``, ``aliases(doc, alias)``. A padded phrase occurs in a padded text
-    exactly when its words are a run of the text's words, so the containment test becomes an
-    equi-join on word runs of the lengths that aliases have.
+    ``queries(query, text)``, ``aliases(doc, alias)``: a phrase occurs if, padded with spaces, it stands anywhere in the lower-cased,
+    padded text. Distinct phrases are looked up once (``pattern_hits``) and joined back to their documents.
     """
-    sized = aliases.filter(F.col("alias") != "").select("doc", "alias", F.size(F.split("alias", " ")).alias("w"))
-    lengths = sized.agg(F.collect_set("w").alias("l")).select("l").scalar()  # a set of small numbers
-    ws = queries.select("query", F.split(F.lower("text"), " ").alias("ws")).withColumn("n", F.explode(lengths))
-    runs = ws.filter(F.size("ws") >= F.col("n")).select(
-        "query", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1),
-            lambda i: F.array_join(F.slice("ws", i, F.col("n")), " "))).alias("alias")).distinct()
-    scored = sized.join(runs, "alias").withColumn("s", F.length("alias") / 40.0 + 1.0)
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    sized = aliases.filter(F.col("alias") != "").select("doc", "alias", padded(F.col("alias")).alias("pattern"))
+    hits = pattern_hits(queries.select("query", padded(F.lower("text")).alias("text")), sized)
+    scored = sized.join(hits, "pattern").withColumn("s", F.length("alias") / 40.0 + 1.0)
     return scored.groupBy("query", "doc").agg(F.max("s").alias("alias_score"))
 
 
 def designation_hits(queries: DataFrame, designations: DataFrame) -> DataFrame:
-    """Number of a record's designations that occur anywhere in the query: (query, doc, designation_hits).
-
-    Substring tests become an equi-join on the query's substrings of the lengths designations have.
-    """
-    sized = designations.filter(F.col("designation") != "").withColumn("w", F.length("designation"))
-    lengths = sized.agg(F.collect_set("w").alias("l")).select("l").scalar()
-    low = queries.select("query", F.lower("text").alias("t")).withColumn("n", F.explode(lengths))
-    pieces = low.filter(F.length("t") >= F.col("n")).select(
-        "query", F.explode(F.transform(
-            F.sequence(F.lit(1), F.length("t") - F.col("n") + 1),
-            lambda i: F.col("t").substr(i, F.col("n")))).alias("designation")).distinct()
-    return sized.join(pieces, "designation").groupBy("query", "doc").agg(
-        F.count(F.lit(1)).alias("designation_hits"))
+    """Number of a record's designations that occur anywhere in the query: (query, doc, designation_hits)."""
+    named = designations.filter(F.col("designation") != "").select("doc", F.col("designation").alias("pattern"))
+    hits = pattern_hits(queries.select("query", F.lower("text").alias("text")), named)
+    return named.join(hits, "pattern").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("designation_hits"))
 
 
 def fused_depth(k: int) -> int:
@@ -83,22 +70,22 @@ def fused_search(queries: DataFrame, corpus: DataFrame, index: Bm25Index, q_vecs
     """Full-corpus weighted rank fusion with alias and designation bonuses and the status penalty.
 
     ``queries(query, text)``, ``corpus(doc, status)``. Ranks are those of the whole corpus, but
-    only documents that can reach the top ``k`` are scored: the first ``fused_depth(k)`` of each
-    channel plus every document with a bonus. Where a query has fewer positive scores than that depth, the lexical
-    channel goes on with the documents of score 0 by id, then with the negative ones.
+    only documents that can reach the top ``k`` are listed: the first ``fused_depth(k)`` of each
+    channel plus every document with a bonus. Both channels multiply blocks of queries with blocks of documents; the ranks of
+    the listed documents are counted block by block.
     """
     depth = fused_depth(k)
-    # read several times below; a score of exactly 0 ranks like no score
-    lexical = cut_lineage(bm25_scores(queries, index, "query", "text").filter(F.col("score") != 0))
+    asked = cut_lineage(query_terms(queries, "query", "text", index.variant))
     top_semantic = dense.dense_search(q_vecs, d_vecs, depth).select("query", "doc")
-    top_lexical = topk(lexical.filter(F.col("score") > 0), ["query"], ["-score", "doc"], depth).select("query", "doc")
-    alias = alias_hits(queries, aliases) if aliases is not None else None
-    designation = designation_hits(queries, designations) if designations is not None else None
-    pools = [top_semantic, top_lexical, _after_positive(lexical, corpus, depth)] + [b.select("query", "doc") for b in (alias, designation) if b is not None]
+    top_lexical = blocked.first_ranks(index, asked, corpus.select("doc"), depth).select("query", "doc")
+    # each is read twice below
+    alias = cut_lineage(alias_hits(queries, aliases)) if aliases is not None else None
+    designation = cut_lineage(designation_hits(queries, designations)) if designations is not None else None
+    pools = [top_semantic, top_lexical] + [b.select("query", "doc") for b in (alias, designation) if b is not None]
     pool = reduce(DataFrame.unionByName, pools).distinct()
     pool = cut_lineage(dense.pair_similarity(pool, q_vecs, d_vecs))
-    pool = dense.similarity_rank(pool, q_vecs, d_vecs)
-    pool = _lexical_rank(pool, lexical, corpus)
+    pool = cut_lineage(dense.similarity_rank(pool, q_vecs, d_vecs))
+    pool = blocked.counted_ranks(index, asked, corpus.select("doc"), pool)
     if alias is not None:
         pool = pool.join(alias, ["query", "doc"], "left")
     if designation is not None:
@@ -117,53 +104,6 @@ def fused_search(queries: DataFrame, corpus: DataFrame, index: Bm25Index, q_vecs
                          "bm25_score", F.col("_h").alias("designation_hits"), F.col("_a").alias("alias_hit"))
 
 
-def _after_positive(lexical: DataFrame, corpus: DataFrame, depth: int) -> DataFrame:
-    """(query, doc) at lexical ranks up to ``depth`` behind the positive scores, for queries with any positive score.
-
-    A query's first ``depth`` documents of score 0 are among the first ``depth`` + (its scored ones) of the corpus by
-    id, so at most that many rows are looked at.
-    """
-    n = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
-    counts = lexical.groupBy("query").agg(F.count_if(F.col("score") > 0).alias("_pos"), F.count(F.lit(1)).alias("_scored"))
-    short = counts.filter((F.col("_pos") > 0) & (F.col("_pos") < depth)).withColumn("_n", n)
-    order = exact_rank(corpus.select("doc"), [], ["doc"], "_position")
-    first = short.withColumn("_position", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("_n", F.col("_scored") + depth))))
-    zero = first.join(order, "_position").join(lexical.select("query", "doc"), ["query", "doc"], "left_anti")
-    zero = topk(zero, ["query"], ["doc"], depth, "_nth").filter(F.col("_nth") <= depth - F.col("_pos")).select("query", "doc")
-    left = short.withColumn("_left", depth - F.col("_pos") - (F.col("_n") - F.col("_scored"))).filter("_left > 0").select("query", "_left")
-    negative = topk(lexical.filter(F.col("score") < 0).join(left, "query"), ["query"], ["-score", "doc"], depth, "_nth")
-    return zero.unionByName(negative.filter(F.col("_nth") <= F.col("_left")).select("query", "doc"))
-
-
-def _lexical_rank(pool: DataFrame, lexical: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Exact BM25 rank in the whole corpus for pooled pairs; NULL when no document of the query has
-    a positive score. ``lexical`` has no score of 0: documents without one sit between positive and negative
-    ones, by id."""
-    n = corpus.select(F.count(F.lit(1)).alias("n")).scalar()
-    per_query = lexical.groupBy("query").agg(
-        F.count_if(F.col("score") > 0).alias("_pos"), F.count(F.lit(1)).alias("_scored"))
-    zero = pool.join(lexical.select("query", "doc"), ["query", "doc"], "left_anti").select(
-        "query", "doc", F.lit(0.0).alias("score"), F.lit(1).alias("_probe"))
-    listed = lexical.withColumn("_probe", F.lit(0)).unionByName(zero)
-    by_score = exact_rank(listed, ["query"], ["-score", "doc"], "_by_score")
-    by_doc = exact_rank(by_score, ["query"], ["doc"], "_by_doc")
-    order = exact_rank(corpus.select("doc"), [], ["doc"], "_position")
-    wanted = by_doc.join(pool.select("query", "doc"), ["query", "doc"], "left_semi")
-    probes = wanted.filter(F.col("_probe") == 1).select("query", "doc")
-    probes = exact_rank(probes, ["query"], ["doc"], "_nth").select("query", "doc", (F.col("_nth") - 1).alias("_earlier"))
-    full = (wanted.join(probes, ["query", "doc"], "left").join(order, "doc").join(per_query, "query", "left")
-            .fillna(0, ["_pos", "_scored"]))
-    scored_before = F.col("_by_doc") - 1 - F.col("_earlier")
-    zero_rank = F.col("_pos") + (F.col("_position") - 1 - scored_before) + 1
-    n_probes = probes.groupBy("query").agg(F.count(F.lit(1)).alias("_n_probes"))
-    full = full.join(n_probes, "query", "left").fillna(0, ["_n_probes"])
-    negative_rank = F.col("_by_score") - F.col("_n_probes") + (n - F.col("_scored"))
-    rank = F.when(F.col("_probe") == 1, zero_rank).when(F.col("score") < 0, negative_rank).otherwise(F.col("_by_score"))
-    ranks = full.select("query", "doc", F.col("score").alias("bm25_score"),
-                        F.when(F.col("_pos") > 0, rank).cast("bigint").alias("lexical_rank"))
-    return pool.join(ranks, ["query", "doc"])
-
-
 def rerank_fuse(hits: DataFrame, score: str, text: str, depth: int = V.RERANK_DEPTH, k: int = V.RERANK_K) -> DataFrame:
     """Fuse the first ``depth`` hits of each query with a reranker's order; the tail keeps its place.
 

@@ -59,9 +59,9 @@ def chain(c):
     return graph.resolve_chain(c.select("id", "status"), c.filter("superseded_by IS NOT NULL").select("id", F.col("superseded_by").alias("successor")))
 
 
-def item_hits(t: Tables, drafts, c):
+def item_hits(t: Tables, lines, c):
     """Best record for every distinct uncited line item, by the full fused search."""
-    items = cut_lineage(A.uncited_items(drafts).select("item").distinct().select(F.col("item").alias("query"), F.col("item").alias("text")))
+    items = cut_lineage(lines.select("item").distinct().select(F.col("item").alias("query"), F.col("item").alias("text")))
     corpus = cut_lineage(c.select(F.col("id").alias("doc"), F.concat("number", F.lit(" "), "title").alias("text"), "status"))
     vecs = [cut_lineage(hashing_encoder(df, key, "text")) for df, key in ((items, "query"), (corpus, "doc"))]
     hits = fusion.fused_search(items, corpus, build_bm25(corpus, "doc", "text", "stop"), *vecs, 1)
@@ -107,14 +107,15 @@ def _(t: Tables):
 
 @query("recommend_for_line_items", W.cte(*AUDIT, *HITS) + "SELECT item, standard_id, round(similarity, 6) AS similarity FROM top1")
 def _(t: Tables):
-    d, c = W.drafts(t), lint_corpus(t)
-    return item_hits(t, d, c).select("item", "standard_id", F.round("similarity", 6).alias("similarity"))
+    lines, c = A.uncited_items(W.drafts(t)), lint_corpus(t)
+    return item_hits(t, lines, c).select("item", "standard_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("lint_uncited_items", W.cte(*AUDIT, *HITS) + "SELECT * FROM (" + K6 + ") x(doc, rule_id, severity, message, \"start\", \"end\", evidence, suggested_fix, standard_id)")
 def _(t: Tables):
     d, r, c = parts(t)
-    return A.lint_uncited(d, r, item_hits(t, d, c), c, V.UNCITED_MIN_SIMILARITY)
+    lines = cut_lineage(A.uncited_items(d))
+    return A.lint_uncited(lines, r, item_hits(t, lines, c), c, V.UNCITED_MIN_SIMILARITY)
 
 
 ALL = " UNION ALL ".join((K1, K2, K3, K4, K5))
@@ -127,7 +128,8 @@ FINDINGS = W.stored(W.cte(*AUDIT, W.EDGE, *HITS, "al AS (" + ALL + " UNION ALL "
 def findings(t: Tables, d):
     """Findings of all six rules over the drafts ``d``."""
     c = lint_corpus(t)
-    return A.lint(d, c, W.edges(t), orders(t), chain(c), item_hits(t, d, c), ROLES, V.UNCITED_MIN_SIMILARITY)
+    lines = cut_lineage(A.uncited_items(d))  # read for the items to search and for the findings
+    return A.lint(d, c, W.edges(t), orders(t), chain(c), item_hits(t, lines, c), ROLES, V.UNCITED_MIN_SIMILARITY, lines)
 
 
 @query("lint_findings", FINDINGS + "SELECT * FROM al")

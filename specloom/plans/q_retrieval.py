@@ -144,35 +144,46 @@ def _(t: Tables):
     return out.select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
-ALIAS = """al AS (SELECT doc_id AS doc, array_to_string(list_slice(string_split(lower(text), ' '), 2, 3), ' ') AS alias FROM documents
- WHERE len(string_split(lower(text), ' ')) >= 3),
-ah AS (SELECT q.query, al.doc, max(1.0 + length(alias) / 40.0) AS alias_score FROM bq q JOIN al
- ON contains(concat(' ', lower(q.text), ' '), concat(' ', alias, ' ')) AND alias <> '' GROUP BY q.query, al.doc)"""
-DESIG = """de AS (SELECT DISTINCT doc_id AS doc, d AS designation FROM (SELECT doc_id, unnest(list_slice(string_split(lower(text), ' '), 4, 5)) AS d FROM documents)),
-dh AS (SELECT q.query, de.doc, count(*) AS designation_hits FROM bq q JOIN de ON designation <> '' AND contains(lower(q.text), designation)
- GROUP BY q.query, de.doc)"""
+#: A sentence's first three words. White space is spelled out, because \s differs between engines.
+OPENING = r"(?:^|[.!?][ \t\n\r\f]+|\n)([^ \t\n\r\f]+ [^ \t\n\r\f]+ [^ \t\n\r\f]+)"
+
+#: tq: the benchmark items, and as long texts every document whose id 50 divides (under -1 - doc_id).
+TEXT_QUERIES = """tq AS (SELECT query, text FROM bq UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 50 = 0)"""
+ITEM_QUERIES = "tq AS (SELECT query, text FROM bq)"
+ALIAS = """al AS (SELECT DISTINCT doc, lower(p) AS alias FROM (SELECT doc_id AS doc, unnest(regexp_extract_all(text, '%s', 1)) AS p FROM documents)),
+ax AS (SELECT DISTINCT q.query, p.alias FROM tq q JOIN (SELECT DISTINCT alias FROM al) p ON contains(concat(' ', lower(q.text), ' '), concat(' ', p.alias, ' '))),
+ah AS (SELECT query, doc, max(1.0 + length(alias) / 40.0) AS alias_score FROM ax JOIN al USING (alias) GROUP BY query, doc)""" % OPENING
+DESIG = """de AS (SELECT DISTINCT doc, designation FROM (SELECT doc_id AS doc, unnest(string_split(lower(text), ' ')) AS designation FROM documents) WHERE regexp_matches(designation, '[0-9]')),
+dx AS (SELECT DISTINCT q.query, p.designation FROM tq q JOIN (SELECT DISTINCT designation FROM de) p ON contains(lower(q.text), p.designation)),
+dh AS (SELECT query, doc, count(*) AS designation_hits FROM dx JOIN de USING (designation) GROUP BY query, doc)"""
+
+
+def text_queries(t: Tables):
+    long = t.documents.filter(F.col("doc_id") % 50 == 0).select((F.lit(-1) - F.col("doc_id")).alias("query"), "text")
+    return W.bench_queries(t).select("query", "text").unionByName(long)
 
 
 def doc_aliases(t: Tables):
-    ws = F.split(F.lower("text"), " ")
-    return t.documents.filter(F.size(ws) >= 3).select(
-        F.col("doc_id").alias("doc"), F.array_join(F.slice(ws, 2, 2), " ").alias("alias"))
+    """The opening words of all sentences of each document."""
+    found = F.explode(F.regexp_extract_all("text", F.lit(OPENING), F.lit(1)))
+    return t.documents.select(F.col("doc_id").alias("doc"), found.alias("p")).select("doc", F.lower("p").alias("alias")).distinct()
 
 
 def doc_designations(t: Tables):
-    ws = F.split(F.lower("text"), " ")
-    return t.documents.select(F.col("doc_id").alias("doc"), F.explode(F.slice(ws, 4, 2)).alias("designation")).distinct()
+    """All words with a digit of each document."""
+    words = t.documents.select(F.col("doc_id").alias("doc"), F.explode(F.split(F.lower("text"), " ")).alias("designation"))
+    return words.filter(F.col("designation").rlike("[0-9]")).distinct()
 
 
-@query("alias_phrase_hits", W.cte(W.BENCH, ALIAS) + "SELECT query, doc, round(alias_score, 6) AS alias_score FROM ah")
+@query("alias_phrase_hits", W.cte(W.BENCH, TEXT_QUERIES, ALIAS) + "SELECT query, doc, round(alias_score, 6) AS alias_score FROM ah")
 def _(t: Tables):
-    return fusion.alias_hits(W.bench_queries(t), doc_aliases(t)).select(
+    return fusion.alias_hits(text_queries(t), doc_aliases(t)).select(
         "query", "doc", F.round("alias_score", 6).alias("alias_score"))
 
 
-@query("designation_substring_hits", W.cte(W.BENCH, DESIG) + "SELECT query, doc, designation_hits FROM dh")
+@query("designation_substring_hits", W.cte(W.BENCH, TEXT_QUERIES, DESIG) + "SELECT query, doc, designation_hits FROM dh")
 def _(t: Tables):
-    return fusion.designation_hits(W.bench_queries(t), doc_designations(t))
+    return fusion.designation_hits(text_queries(t), doc_designations(t))
 
 
 FUSED = """lexr AS (SELECT p.query, p.doc, coalesce(s.score, 0) AS bm25_score,
@@ -183,7 +194,7 @@ fus AS (SELECT l.query, l.doc, bm25_score, CASE WHEN sig THEN lr END AS lexical_
  round(CASE WHEN status <> 'active' THEN 0.6 ELSE 1.0 END * (CASE WHEN sig THEN 0.5 / (60 + lr) ELSE 0 END + 1.0 / (60 + semantic_rank)
  + 0.05 * coalesce(designation_hits, 0) + 0.05 * coalesce(alias_score, 0)), 12) AS score
  FROM lexr l JOIN semr USING (query, doc) JOIN dc USING (doc) LEFT JOIN ah USING (query, doc) LEFT JOIN dh USING (query, doc))"""
-FUSED_SQL = (W.BENCH, W.DOCS, W.bm25_cte("dc", "bq", stop=V.STOPWORDS), *TEXT_VECS, DENSE_ALL, ALIAS, DESIG, FUSED)
+FUSED_SQL = (W.BENCH, W.DOCS, W.bm25_cte("dc", "bq", stop=V.STOPWORDS), *TEXT_VECS, DENSE_ALL, ITEM_QUERIES, ALIAS, DESIG, FUSED)
 
 
 def fused(t: Tables, k: int):
