@@ -30,42 +30,21 @@ BLOCK_SCHEMA = ("part int, seq int, dict_hash long, width int, doc_ids array<lon
 READ_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long"
 
 
-#: How byte-level tokenizers cut a text, and the characters that stand for its bytes.
-PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in PRINTED)}
-
-
-class Lookup(dict):
-    """Results of ``make`` by key, made when first asked for; emptied at ``most`` entries, long keys not kept."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file, as little-endian arrays.
 
     For the byte-level pre-tokenizer no pre-token crosses the border before a space that a non-space
-    follows, so a text is the sum of its space-led pieces. The library's model encodes each distinct
-    pre-token once; ids of pieces and pre-tokens are looked up after that. A text with a space before other white
+    follows, so a text is the sum of its first piece and its space-led pieces, and pieces may stand side by side in any order. The library cuts and encodes
+    the pieces of a text that are not known yet, as one text; the ids of known pieces are looked up. A text with a space before other white
     space or at its end, or holding the string of an added token, goes to the library whole, as do all
-    texts of other tokenizer kinds. The look-up tables are emptied when they hold ``cache`` entries.
+    texts of other tokenizer kinds. At ``cache`` known pieces the table becomes the older one of
+    two, whose pieces come back when they are met; the table before it goes. Pieces of over 64 characters are not kept.
     """
 
     def __init__(self, path: str, cache: int = 400_000):
         import json
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -73,28 +52,52 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                          and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
+        tokens_added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
+        self.by_piece = self.by_piece and not any(" " in t for t in tokens_added)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]]
-        self.unsafe = re.compile("|".join([r" (?=\s)", r" \Z", *added])).search
-        self.split = regex.compile(PRE_TOKENS).findall
-        self.pieces, self.known = Lookup(self.piece, cache), Lookup(self.token, cache)
+        self.added, self.gap = tokens_added, re.compile(r" \s").search
+        self.cache, self.known, self.older = cache, {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def token(self, pre_token: str) -> bytes:
-        shown = pre_token.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype=self.dtype).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.split(" " + piece)))
+    def unsafe(self, text: str) -> bool:
+        return not self.by_piece or text.endswith(" ") or any(t in text for t in self.added) or self.gap(text) is not None
+
+    def learn(self, pieces: set[str]) -> None:
+        """Make all ``pieces`` known, each standing for itself behind a space."""
+        if len(self.known) >= self.cache:
+            self.known, self.older = {}, self.known
+        older, new = self.older, []
+        for p in pieces:
+            ids = older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        if new:
+            got = self.tokenizer.encode(" " + " ".join(new), add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype).tobytes()
+            starts = np.array(got.offsets)[:, 0]
+            sizes = np.fromiter(map(len, new), np.int64, len(new)) + 1
+            # the first token of a piece begins at its space
+            at = (np.searchsorted(starts, np.cumsum(sizes) - sizes) * self.dtype.itemsize).tolist()
+            self.known.update((p, ids[i:j]) for p, i, j in zip(new, at, [*at[1:], len(ids)]))
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.unsafe(text):
+        if self.unsafe(text):
             return self.whole(text)
-        head, _, tail = text.partition(" ")
-        first = b"".join(map(self.known.__getitem__, self.split(head)))
-        return first + b"".join(map(self.pieces.__getitem__, tail.split(" "))) if _ else first
+        first, *rest = text.split(" ")
+        found = list(map(self.known.get, rest))
+        if None in found:
+            new = {p for p, ids in zip(rest, found) if ids is None}
+            self.learn(new)
+            look_up = self.known.__getitem__
+            found = [look_up(p) if ids is None else ids for p, ids in zip(rest, found)]
+            for p in new:
+                if len(p) > 64:
+                    del self.known[p]
+        return self.whole(first) + b"".join(found)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -126,7 +129,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str,
         e = encoder(tokenizer)
         end = np.array([end_id], e.dtype).tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([(e.encode(t or "") + end)[:2000 * e.dtype.itemsize] for t in b.column(0).to_pylist()], pa.binary())], names=["ids"])
+            out = []
+            for t in b.column(0):
+                out.append((e.encode(t.as_py() or "") + end)[:2000 * e.dtype.itemsize])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
 
     chosen = some.orderBy("h", "t").limit(samples).select("t")
     arrays = [bytes(r["ids"]) for r in chosen.mapInArrow(ids, "ids binary").collect()]
@@ -146,7 +152,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                       block_ids: int = 1 << 20, samples: int = 2000, dict_size: int = 64 << 10, level: int = 3) -> None:
     """Encode every whole text, append ``end_id`` and write the container under ``path``.
 
-    Null texts are empty; repeated rows are documents of their own; ties of an id stand in text order;
+    Null texts are empty; repeated rows are documents of their own; rows that share an id stand in the order of a hash of the text;
     null ids come first; extra columns are left out; an empty table gives an empty container. Documents
     are dealt by ranges of (id, hash of the text), so neither one frequent id nor one source fills a task.
     """
