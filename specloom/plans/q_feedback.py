@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from specloom.functions import scoring as S
 from specloom.operators import feedback as B
 from specloom.operators import ranker as L
-from specloom.operators.ranking import topk
+from specloom.operators.overlap import dispute_lift, scope_overlap
+from specloom.operators.ranking import spread, topk
 from specloom.plans import views as W
 from specloom.plans.q_retrieval import BM25_TOP, DENSE_TOP, dense50, sparse50
 from specloom.plans.registry import Tables, query
@@ -223,6 +224,38 @@ def _(t: Tables):
     return L.cross_validate(labelled(t), 3)
 
 
+@query("scope_overlap", """WITH s0 AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '([a-zA-Z0-9]+)', 1))) AS words FROM documents),
+ s AS (SELECT min(doc_id) AS id, words, len(words) AS n FROM s0 WHERE len(words) > 0 GROUP BY words), w AS (SELECT id, n, unnest(words) AS word FROM s),
+ p AS (SELECT a.id, b.id AS other, round(count(*) / (a.n + b.n - count(*)), 9) AS overlap FROM w a JOIN w b USING (word) WHERE a.id <> b.id GROUP BY a.id, b.id, a.n, b.n)
+ SELECT id, other, round(overlap, 6) AS overlap, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, other) AS rank FROM p WHERE overlap >= 0.5) WHERE rank <= 5""")
+def _(t: Tables):
+    out = scope_overlap(spread(t.documents, "doc_id"), 0.5, 5, "doc_id", "text")
+    return out.select("id", "other", F.round("overlap", 6).alias("overlap"), "rank")
+
+
+@query("dispute_lift", """WITH c AS (SELECT DISTINCT l_orderkey AS doc, l_suppkey AS record FROM lineitem), o AS (SELECT l_orderkey AS doc, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS bad FROM lineitem GROUP BY l_orderkey),
+ h AS (SELECT c.doc, record, bad FROM c JOIN o USING (doc)), b AS (SELECT avg(bad) AS r FROM o),
+ x AS (SELECT record AS first, NULL::BIGINT AS second, count(*) AS documents, sum(bad)::BIGINT AS disputed FROM h GROUP BY record
+ UNION ALL SELECT a.record, z.record, count(*), sum(a.bad)::BIGINT FROM h a JOIN h z ON a.doc = z.doc AND a.record < z.record GROUP BY a.record, z.record)
+ SELECT first, second, documents, disputed, round(disputed / documents / r, 6) AS lift FROM x, b WHERE documents >= 5""")
+def _(t: Tables):
+    li = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_suppkey").cast("bigint").alias("record"), (F.col("l_returnflag") == "R").alias("bad"))
+    return dispute_lift(li.select("doc", "record"), li.select("doc", "bad"))
+
+
+@query("ranker_scores_listwise")
+def _(t: Tables):
+    data = labelled(t)
+    scored = L.score_ranker(L.train_ranker(data, "listwise"), data)
+    return topk(scored.select("query", "doc", "label", F.round("score", 6).alias("score")), ["query"], ["-score", "doc"], 10)
+
+
+@query("ranker_tree_contributions")
+def _(t: Tables):
+    data = labelled(t)
+    return L.feature_contributions(L.train_ranker(data, "trees"), data)
+
+
 @query("ranker_contributions")
 def _(t: Tables):
     data = labelled(t)
