@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with robust-pruned directed graphs, one for each shard.
 
-Vectors of equal components are one node, so copies neither crowd a graph nor get lost. Nodes are dealt by
+Vectors of one direction (unit vectors equal in 12 digits) are one node, so copies and multiples neither crowd a graph nor get lost. Nodes are dealt by
 hash into shards of bounded size. A shard's graph is built in rounds: every node searches the graph greedily from the
 medoid, the nodes seen and its neighbours are its candidates, and robust pruning keeps a candidate unless a kept one is nearer to it
 by the factor ``alpha``; edges are made two-way and pruned again. Queries run a beam search in every shard, in blocks of
@@ -27,13 +27,11 @@ def beam_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np
     n, q = len(x), len(queries)
     nodes = np.full((q, width), -1)
     far = np.full((q, width), np.inf, np.float32)
-    entry = entry[:width]
-    nodes[:, :len(entry)] = entry
-    far[:, :len(entry)] = 1 - queries @ x[entry].T
-    order = np.argsort(far, 1, kind="stable")
-    nodes, far = np.take_along_axis(nodes, order, 1), np.take_along_axis(far, order, 1)
+    begin = 1 - queries @ x[entry].T
+    order = np.argsort(begin, 1, kind="stable")[:, :width]
+    nodes[:, :order.shape[1]], far[:, :order.shape[1]] = entry[order], np.take_along_axis(begin, order, 1)
     seen = np.zeros((q, n), bool)
-    seen[:, entry] = True
+    np.put_along_axis(seen, entry[order], True, 1)
     expanded = np.zeros((q, n), bool)
     rows = np.arange(q)
     while True:
@@ -73,12 +71,31 @@ def robust_prune(x: np.ndarray, node: int, candidates: np.ndarray, degree: int,
     return np.array(kept, np.int64)
 
 
+def entries(graph, first: np.ndarray) -> np.ndarray:
+    """``first`` and, while some node can't be reached, one node more of those that can't: all nodes are reachable from the result."""
+    out, seen = list(first), np.zeros(len(graph), bool)
+    frontier = np.asarray(first)
+    while True:
+        while len(frontier):
+            seen[frontier] = True
+            near = np.unique(graph[frontier])
+            frontier = near[(near >= 0) & ~seen[near]]
+        left = np.flatnonzero(~seen)
+        if not len(left):
+            return np.array(out)
+        out.append(int(left[0]))
+        frontier = left[:1]
+
+
 def build_graph(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float = 1.2, rounds: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(graph, entry nodes) of unit vectors. The start is a random graph; every round replaces each node's edges."""
+    """(graph, entry nodes) of unit vectors. The start is a random graph; every round replaces each node's edges.
+
+    Many vectors of nearly one direction link to each other alone; entries are added so that every node stays reachable, while building and at the end.
+    """
     n = len(x)
     degree = min(degree, max(1, n - 1))
     rng = np.random.default_rng(seed)
-    entry = np.array([int((x @ x.mean(0)).argmax())])
+    medoid = np.array([int((x @ x.mean(0)).argmax())])
     graph = np.full((n, degree), -1)
     if n > 1:
         for i in range(n):
@@ -87,7 +104,7 @@ def build_graph(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float =
     for r in range(rounds if n > 1 else 0):
         factor = 1.0 if r + 1 < rounds else alpha
         for block in np.array_split(rng.permutation(n), max(1, n // 512)):
-            found, _ = beam_search(x, graph, x[block], entry, width)
+            found, _ = beam_search(x, graph, x[block], entries(graph, medoid), width)
             incoming: dict[int, list[int]] = {}
             for i, near in zip(block, found):
                 kept = robust_prune(x, i, np.unique(np.concatenate([near[near >= 0], graph[i][graph[i] >= 0]])), degree, factor)
@@ -102,7 +119,7 @@ def build_graph(x: np.ndarray, degree: int = 32, width: int = 64, alpha: float =
                     union = robust_prune(x, k, union, degree, factor)
                 graph[k] = -1
                 graph[k, :len(union)] = union
-    return graph, entry
+    return graph, entries(graph, medoid)
 
 
 def valid_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -113,26 +130,31 @@ def valid_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "
 
 
 def build_index(vectors: DataFrame, copies: int, shard_rows: int = 4096, **graph_options) -> DataFrame:
-    """(shard, node, ids, v, neighbours, entry): every valid vector is in one shard. ``ids`` lists the ``copies`` smallest ids of a
-    node, more can't be in any result list. The number of shards follows the number of nodes; nothing is left out."""
-    ranked = vectors.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("_r") <= copies)
-    nodes = cut(ranked.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")))
+    """(shard, node, ids, vs, neighbours, entry): every valid vector is in one shard. ``ids`` and ``vs`` list the members with the ``copies`` smallest ids of a
+    direction: their cosines are equal but for the last digit, so more can't be in any result list. The number of shards follows the number of nodes."""
+    big = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    scaled = vectors.select("vec_id", "v", F.transform("v", lambda c: c / big).alias("s"))
+    length = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, c: a + c * c))
+    aimed = scaled.select("vec_id", "v", F.transform("s", lambda c: F.round(c / length, 12) + F.lit(0.0)).alias("aim"))
+    ranked = aimed.withColumn("_r", F.dense_rank().over(Window.partitionBy("aim").orderBy("vec_id"))).where(F.col("_r") <= copies)
+    members = F.array_sort(F.collect_set(F.struct("vec_id", "v")))
+    nodes = cut(ranked.groupBy("aim").agg(members.alias("m")).select(F.col("m.vec_id").alias("ids"), F.col("m.v").alias("vs"), "aim"))
     shards = max(1, -(-nodes.count() // shard_rows))
-    dealt = nodes.select("ids", "v", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"))
+    dealt = nodes.select("ids", "vs", "aim", F.pmod(F.xxhash64("aim"), F.lit(shards)).cast("int").alias("shard"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        sizes = group["v"].map(len)
+        sizes = group["aim"].map(len)
         out = []
         for size in sorted(sizes.unique()):  # vectors of another length are another space
             part = group[sizes == size].reset_index(drop=True)
             order = np.argsort([i[0] for i in part["ids"]], kind="stable")
             part = part.iloc[order].reset_index(drop=True)
-            x = unit(np.array(part["v"].tolist(), np.float64)).astype(np.float32)
+            x = unit(np.array(part["aim"].tolist(), np.float64)).astype(np.float32)
             graph, entry = build_graph(x, **graph_options)
-            out.append(pd.DataFrame({"shard": part["shard"], "node": np.arange(len(part), dtype=np.int32), "ids": part["ids"], "v": part["v"], "neighbours": [g[g >= 0].astype(np.int32) for g in graph], "entry": np.isin(np.arange(len(part)), entry)}))
+            out.append(pd.DataFrame({"shard": part["shard"], "node": np.arange(len(part), dtype=np.int32), "ids": part["ids"], "vs": part["vs"], "neighbours": [g[g >= 0].astype(np.int32) for g in graph], "entry": np.isin(np.arange(len(part)), entry)}))
         return pd.concat(out)
 
-    return cut(dealt.groupBy("shard").applyInPandas(build, "shard int, node int, ids array<long>, v array<double>, neighbours array<int>, entry boolean"))
+    return cut(dealt.groupBy("shard").applyInPandas(build, "shard int, node int, ids array<long>, vs array<array<double>>, neighbours array<int>, entry boolean"))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -152,22 +174,24 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int = 96, block_
 
     def run(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        sizes, lengths = nodes["v"].map(len), asked["v"].map(len)
+        sizes, lengths = nodes["vs"].map(lambda m: len(m[0])), asked["v"].map(len)
         for size in set(sizes) & set(lengths):
             part, ask = nodes[sizes == size].sort_values("node"), asked[lengths == size]
-            v, q = np.array(part["v"].tolist(), np.float64), np.array(ask["v"].tolist(), np.float64)
-            x, u = unit(v).astype(np.float32), unit(q).astype(np.float32)
+            q = np.array(ask["v"].tolist(), np.float64)
+            # the members of node n are the rows starts[n] to starts[n + 1] of v
+            starts = np.cumsum([0, *part["ids"].map(len)])
+            v, ids = np.array([m for vs in part["vs"] for m in vs], np.float64), np.concatenate(part["ids"].tolist())
+            x, u = unit(v[starts[:-1]]).astype(np.float32), unit(q).astype(np.float32)
             graph = np.full((len(part), max(1, part["neighbours"].map(len).max())), -1)
             for i, n in enumerate(part["neighbours"]):
                 graph[i, :len(n)] = n
             entry = np.flatnonzero(part["entry"].to_numpy())
-            ids, names = part["ids"].tolist(), ask["query_id"].tolist()
+            names = ask["query_id"].tolist()
             for first in range(0, len(u), 512):
                 found, _ = beam_search(x, graph, u[first:first + 512], entry, width)
                 for i, near in enumerate(found, first):
-                    near = near[near >= 0]
-                    score = cosine(v[near], q[i])
-                    rows = [(s, j) for s, n in zip(score, near) for j in ids[n] if j != names[i]]
+                    at = np.concatenate([np.arange(starts[n], starts[n + 1]) for n in near[near >= 0]])
+                    rows = [(s, j) for s, j in zip(cosine(v[at], q[i]).tolist(), ids[at].tolist()) if j != names[i]]
                     rows.sort(key=lambda r: (-r[0], r[1]))
                     out += [(names[i], j, s) for s, j in rows[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
