@@ -8,7 +8,7 @@ one share for words never seen, so probabilities sum to one over known words and
 
 Jobs: (1) every task cuts its texts into blocks, numbers the words of a block and writes the ids
 and the block's dictionary with counts; (2) counts of a word are summed over all blocks and sent back to the blocks
-that hold it; (3) blocks are rewritten as class sequences beside the unigram score; (4) each
+that hold it; (3) blocks are rewritten as class sequences beside the unigram score, documents of like length in one task; (4) each
 Baum-Welch round sums expected counts per task, then over tasks; (5) the scaled forward recursion scores.
 """
 
@@ -27,7 +27,7 @@ from specloom.llm.common import cut, fold_of
 BLOCK_TOKENS = 6_000_000
 END = b"\n"  # no word holds white space
 TOKENS_SCHEMA = "block long, kind int, doc_id long, learned boolean, ids binary, word binary, local int, n_learned long"
-CLASS_SCHEMA = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
+CLASS_SCHEMA = "task int, doc_id long, learned boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -45,7 +45,8 @@ def word_key(word: bytes) -> bytes:
 
 
 def number_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (doc_id, learned, text) to blocks: kind 0 a document's local ids, kind 1 a dictionary entry."""
+    """Rows (doc_id, learned, text) to blocks: kind 0 a document's local ids (``local``: its tokens, ``n_learned``: its place in
+    the block), kind 1 a dictionary entry (``local``: the id, ``n_learned``: its training count)."""
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 32
@@ -56,33 +57,32 @@ def number_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return n
 
     local = Numbers()
-    seen, total, docs = np.zeros(1024, np.int64), 0, []
+    total, docs = 0, []
 
     def flush() -> pd.DataFrame:
-        d, l, i = zip(*docs)
+        d, l, sizes, i = zip(*docs)
         n, m = len(docs), len(local)
+        taught = [np.frombuffer(x, "<u4") for x, learned in zip(i, l) if learned]
+        seen = np.bincount(np.concatenate(taught), minlength=m) if taught else np.zeros(m, np.int64)
         frame = {
             "block": block, "kind": np.repeat([0, 1], [n, m]).astype("int32"),
             "doc_id": pd.array([*d, *[None] * m], "Int64"), "learned": pd.array([*l, *[None] * m], "boolean"),
             "ids": [*i, *[None] * m], "word": [*[None] * n, *map(word_key, local)],
-            "local": pd.array([*[None] * n, *range(m)], "Int32"), "n_learned": pd.array([*[None] * n, *seen[:m].tolist()], "Int64"),
+            "local": np.concatenate([sizes, np.arange(m)]).astype("int32"), "n_learned": np.concatenate([np.arange(n), seen]).astype("int64"),
         }
         return pd.DataFrame(frame)
 
     for b in batches:
         for d, learned, text in zip(b["doc_id"].tolist(), b["learned"].tolist(), b["text"].tolist()):
-            ids = np.fromiter(map(local.__getitem__, [*words(text), END]), np.uint32)
-            if len(local) > len(seen):
-                seen = np.concatenate([seen, np.zeros(max(len(seen), len(local)), np.int64)])
-            if learned:
-                np.add.at(seen, ids, 1)
-            docs.append((None if pd.isna(d) else int(d), bool(learned), ids.astype("<u4").tobytes()))
+            found = words(text)
+            found.append(END)
+            ids = np.fromiter(map(local.__getitem__, found), "<u4", len(found))
+            docs.append((None if pd.isna(d) else int(d), bool(learned), len(ids), ids.tobytes()))
             total += len(ids)
             if total >= BLOCK_TOKENS:
                 yield flush()
                 block, total, docs = block + 1, 0, []
                 local.clear()
-                seen[:] = 0
     if docs:
         yield flush()
 
@@ -122,7 +122,7 @@ class Model:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
 
-def padded(sequences: list[np.ndarray], cells: int = 1_500_000, most: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def padded(sequences: list[np.ndarray], cells: int = 3_000_000, most: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sequences of like length side by side: (their places, lengths, ids time x sequence)."""
     lengths = np.array([len(s) for s in sequences])
     order = np.argsort(lengths, kind="stable")[::-1]
@@ -137,69 +137,94 @@ def padded(sequences: list[np.ndarray], cells: int = 1_500_000, most: int = 1024
         at += n
 
 
-def forward(model: Model, ids: np.ndarray, lengths: np.ndarray, keep: int = 0) -> tuple[np.ndarray, list]:
+def windows(lengths: np.ndarray, steps: int, states: int, window: int | None, cells: int = 250_000) -> list[tuple[int, int, int]]:
+    """(first, end, sequences that reach it): windows of steps whose states fit the processor's cache; lengths descend."""
+    width = window or max(1, min(1024, cells // (len(lengths) * states)))
+    return [(t, min(steps, t + width), int(np.searchsorted(-lengths, -t, side="left"))) for t in range(0, steps, width)]
+
+
+def filtered(model: Model, ids: np.ndarray, lengths: np.ndarray, a: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
+    """One window of the scaled forward recursion, states x time x sequence: emissions, filtered states, scales and the places
+    behind a sequence's end. There every state emits with 1, so that scales stay 1 and nothing is learned or lost."""
+    steps, n = ids.shape
+    emit = np.take(model.emit, ids, axis=1)
+    over = np.arange(first, first + steps)[:, None] >= lengths
+    if over.any():
+        emit[:, over] = 1.0
+    states, scales, ahead = np.empty_like(emit), np.empty((steps, n)), np.ascontiguousarray(model.move.T)
+    for t in range(steps):
+        now = (ahead @ a if first + t else a) * emit[:, t]
+        np.add.reduce(now, 0, out=scales[t])
+        a = np.divide(now, scales[t], out=states[:, t])
+    return emit, states, scales, over
+
+
+def forward(model: Model, ids: np.ndarray, lengths: np.ndarray, window: int | None = None) -> tuple[np.ndarray, list]:
     """Scaled forward recursion over time x sequence ids, longest first: natural log likelihoods, and the
-    filtered states every ``keep`` steps (to go back from without storing them all)."""
-    emit = np.ascontiguousarray(model.emit.T)
+    filtered states before each window (to go back from without storing them all)."""
     steps, n = ids.shape
-    alive = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")  # sequences with a token at each step
     total, held = np.zeros(n), []
-    a = np.repeat(model.start[None], n, 0)
-    for t in range(steps):
-        m = alive[t]
-        if keep and t % keep == 0:
-            held.append(a[:m].copy())
-        now = (a[:m] @ model.move if t else a[:m]) * emit[ids[t, :m]]
-        scale = now.sum(1)
-        a = now / scale[:, None]
-        total[:m] += np.log(scale)
+    a = np.repeat(model.start[:, None], n, 1)
+    for first, end, m in windows(lengths, steps, len(model.start), window):
+        held.append(a[:, :m].copy())
+        _, states, scales, over = filtered(model, ids[first:end, :m], lengths[:m], held[-1], first)
+        total[:m] += np.where(over, 0.0, np.log(scales)).sum(0)
+        a = states[:, -1]
     return total, held
 
 
-def expected(model: Model, ids: np.ndarray, lengths: np.ndarray, counts: tuple, window: int = 256) -> float:
+def expected(model: Model, ids: np.ndarray, lengths: np.ndarray, counts: tuple, window: int | None = None) -> float:
     """Add the Baum-Welch expected counts of the sequences to ``counts`` (start, move, emit); log likelihood.
 
     Filtered states are kept at window borders and redone window by window on the way back, so memory is
-    window x sequences x states for any length.
+    window x sequences x states for any length. Moves of a window are counted as one product.
     """
     start, move, emitted = counts
-    emit = np.ascontiguousarray(model.emit.T)
+    k, width = model.emit.shape
     steps, n = ids.shape
-    k = len(model.start)
     total, held = forward(model, ids, lengths, window)
-    alive = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-    back = np.ones((n, k))
-    for first in range((len(held) - 1) * window, -1, -window):
-        last = min(steps, first + window)
-        a, kept, scales = held[first // window], [], []
-        for t in range(first, last):
-            m = alive[t]
-            now = (a[:m] @ model.move if t else a[:m]) * emit[ids[t, :m]]
-            s = now.sum(1, keepdims=True)
-            kept.append(a[:m])
-            a = now / s
-            scales.append(s)
-        posts = []
-        for t in range(last - 1, first - 1, -1):
-            m = alive[t]
-            now = emit[ids[t, :m]] * back[:m] / scales[t - first]
-            before = kept[t - first][:m]
-            if t:
-                moved = before @ model.move
-                move += model.move * (before.T @ now)
-                post = moved * now
-                back[:m] = now @ model.move.T
-            else:
-                post = before * now
-                start += post.sum(0)
-            posts.append((t, post))
-        seen = np.concatenate([ids[t, :alive[t]] for t, _ in posts])
-        weights = np.concatenate([p for _, p in posts])
+    back = np.ones((k, n))
+    for (first, end, m), before in zip(reversed(windows(lengths, steps, k, window)), reversed(held)):
+        here = ids[first:end, :m]
+        now, states, scales, over = filtered(model, here, lengths[:m], before, first)
+        now /= scales
+        posts, b = np.empty_like(states), back[:, :m]
+        for t in range(end - first - 1, -1, -1):
+            np.multiply(states[:, t], b, out=posts[:, t])
+            later = np.multiply(now[:, t], b, out=now[:, t])
+            if first + t:
+                b = model.move @ later
+        back[:, :m] = b
+        if over.any():
+            now[:, over], posts[:, over] = 0.0, 0.0
+        if first:
+            move += model.move * (before @ now[:, 0].T)
+        else:
+            start += posts[:, 0].sum(1)
+        move += model.move * (states[:, :-1].reshape(k, -1) @ now[:, 1:].reshape(k, -1).T)
+        seen = here.ravel()
         for j in range(k):
-            emitted[j] += np.bincount(seen, weights[:, j], emitted.shape[1])
+            emitted[j] += np.bincount(seen, posts[j].ravel(), width)
     return float(total.sum())
 
 
+def dealt_by_length(texts: DataFrame, per_task: int = 4_000_000) -> tuple[int, list[tuple[float, int, int]]]:
+    """(tasks, rows of (least token count, first task, number of tasks)): documents of like length share tasks of about
+    ``per_task`` tokens, so that no task has a few long ones alone. The driver gets one row for each step of a quarter in length."""
+    step = F.floor(F.log2("size") * 3)
+    found = sorted(tuple(r) for r in texts.groupBy(step.alias("step")).agg(F.sum("size")).collect())
+    per_task = max(1, min(per_task, sum(n for _, n in found) // texts.sparkSession.sparkContext.defaultParallelism))
+    borders, first, held = [], 0, 0
+    for step, n in found:
+        if not borders or held + n > per_task:  # short steps share a task
+            first += borders[-1][2] if borders else 0
+            borders.append((float(step), first, max(1, round(n / per_task))))
+            held = n
+        else:
+            held += n
+    return (borders[-1][1] + borders[-1][2] if borders else 1), borders
+
+
 def fit(classes: DataFrame, share: np.ndarray, states: int, warm_rounds: int, warm_docs: int, rounds: int, seed: int, settled: float) -> Model:
     """Baum-Welch from seeded noise: each round sums the counts of every learned document, until a round adds less than ``settled``
     of the log likelihood, ``rounds`` at most. On request ``warm_rounds`` over about ``warm_docs`` documents (smallest hash of the id) come first."""
@@ -269,15 +294,21 @@ def hmm_scores(docs: DataFrame, folds: int = 7, held: int = 2, states: int = 8,
         c, kind = np.zeros(len(entries)), np.zeros(len(entries), np.int64)
         at = entries["local"].to_numpy()
         c[at], kind[at] = entries["c"].to_numpy(), entries["class"].to_numpy()
-        base = np.log10(c + 1) - rare
+        base, known = np.log10(c + 1) - rare, c > 0
         inner = np.where(slots[kind] > 0, np.log10(c + 1) - np.log10(below[kind]), 0.0)
         ids = [np.frombuffer(x, "<u4") for x in texts["ids"]]
         return pd.DataFrame({
-            "doc_id": texts["doc_id"].astype("Int64"), "learned": texts["learned"], "n_tokens": [len(x) for x in ids], "n_known": [int((c[x] > 0).sum()) for x in ids],
+            "task": texts["task"], "doc_id": texts["doc_id"].astype("Int64"), "learned": texts["learned"], "n_tokens": [len(x) for x in ids], "n_known": [int(np.count_nonzero(known[x])) for x in ids],
             "base_score": [float(base[x].sum()) for x in ids], "inner": [float(inner[x].sum()) for x in ids], "classes": [kind[x].astype("<u2").tobytes() for x in ids]})
 
-    texts = tokens.where("kind = 0").select(F.col("block").alias("text_block"), "doc_id", "learned", "ids")
-    classes = cut(texts.groupBy("text_block").cogroup(entries.groupBy("block")).applyInPandas(encode, CLASS_SCHEMA))
+    texts = tokens.where("kind = 0")
+    tasks, borders = dealt_by_length(texts.select(F.col("local").alias("size")))
+    step, place, task = F.floor(F.log2("local") * 3), F.xxhash64("block", "n_learned"), F.lit(0)
+    for least, first, n in borders:
+        task = F.when(step >= least, F.lit(first) + F.pmod(place, F.lit(n)).cast("int")).otherwise(task)
+    texts = texts.select(F.col("block").alias("text_block"), "doc_id", "learned", "ids", task.alias("task"))
+    coded = texts.groupBy("text_block").cogroup(entries.groupBy("block")).applyInPandas(encode, CLASS_SCHEMA)
+    classes = cut(coded.repartitionById(tasks, F.col("task")).drop("task"))
     share = mass / total if total else np.full(width, 1 / width)
     model = fit(classes, share, states, warm_rounds, warm_docs, rounds, seed, settled) if total else Model.drawn(share, states, seed)
 
