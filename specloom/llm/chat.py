@@ -56,7 +56,8 @@ def rows_to_events(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages: (conv_id, at, role, text), ``at`` the seq of the event that began each. ``message`` names a message
     within its conversation; ``seq`` is any type that sorts and is unique in a conversation. Null texts are empty,
-    a message without a beginning begins with its first event, null kinds are deltas.
+    a message without a beginning begins with its first event, null kinds are deltas. An event that is repeated with
+    its ``seq`` counts as often as it stands there; extra columns are left out and an empty log gives no messages.
 
     What one message gathers is its own text, so a group is no larger than the row that it becomes.
     """
@@ -78,22 +79,28 @@ def fold_events(events: DataFrame) -> DataFrame:
     return kept.join(redone, dropped, "left_anti").select("conv_id", "at", F.coalesce("role", F.lit("")).alias("role"), "text")
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """Segments (conv_id, at, segment): each message by the template, whatever conversation it is in."""
+def render(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """Segments (conv_id, at, segment, loss_from, loss_to): each message by the template, whatever conversation it is in. The
+    loss mask is a span of code points of the segment, null where nothing is learned; it is taken while the segment is put together."""
     role = F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:"))
-    return messages.select("conv_id", "at", F.concat(F.lit("### "), role, F.lit(":\n"), escape(F.col("text")), F.lit("\n</turn>\n")).alias("segment"))
+    head, body = F.concat(F.lit("### "), role, F.lit(":\n")), escape(F.col("text"))
+    learn = F.col("role").isin(*loss_roles)
+    return messages.select("conv_id", "at", F.concat(head, body, F.lit("\n</turn>\n")).alias("segment"),
+                           F.when(learn, F.length(head)).alias("loss_from"), F.when(learn, F.length(head) + F.length(body)).alias("loss_to"))
 
 
-def with_spans(segments: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Segments with start and end in the formatted conversation and the loss mask as a span (loss_start, loss_end; null
+def with_spans(segments: DataFrame) -> DataFrame:
+    """Segments with start and end in the formatted conversation and the loss mask there (loss_start, loss_end; null
     where nothing is learned). Starts are running sums over ranges, so no conversation has to fit a task."""
     sized = segments.withColumn("size", F.length("segment").cast("long"))
     placed = running_sum(sized, ["conv_id"], ["at"], "size", "start")
-    role, body = parsed(F.col("segment"))
-    learn = role.isin(*loss_roles)
-    open_at = F.col("start") + F.length(F.regexp_extract("segment", r"(?s)^(### (?:\\.|[^\\:])*:\n)", 1))
     return placed.select("conv_id", "at", "segment", "start", (F.col("start") + F.col("size")).alias("end"),
-                         F.when(learn, open_at).alias("loss_start"), F.when(learn, F.col("start") + F.col("size") - F.length(F.lit("\n</turn>\n"))).alias("loss_end"))
+                         (F.col("start") + F.col("loss_from")).alias("loss_start"), (F.col("start") + F.col("loss_to")).alias("loss_end"))
+
+
+def masked(segment: Column, loss_from: Column, loss_to: Column) -> Column:
+    """The text under a segment's loss mask, unescaped; null without a mask."""
+    return unescape(F.substr(segment, loss_from + 1, loss_to - loss_from))
 
 
 def parsed(segment: Column) -> tuple[Column, Column]:
@@ -101,15 +108,16 @@ def parsed(segment: Column) -> tuple[Column, Column]:
     return unescape(F.regexp_extract(segment, SEGMENT, 1)), unescape(F.regexp_extract(segment, SEGMENT, 2))
 
 
-def formatted_digests(segments: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def formatted_digests(segments: DataFrame) -> DataFrame:
     """Per conversation, read back from the segments: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    A SHA-256 takes its bytes in order, so a conversation's segments pass through one task; it holds one
+    Turns are parsed by the template; what is learned is cut out by the written mask alone. A SHA-256 takes its bytes in order, so a conversation's segments pass through one task; it holds one
     digest state and one batch of segments, whatever the conversation's length.
     """
+    dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "at").drop("at")
     role, text = parsed(F.col("segment"))
-    rows = segments.select("conv_id", "at", role.alias("role"), text.alias("text"), role.isin(*loss_roles).alias("learn"), F.length("segment").cast("long").alias("size"), F.length(text).cast("long").alias("chars"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "at").drop("at")
+    loss = masked(F.col("segment"), F.col("loss_from"), F.col("loss_to"))
+    rows = dealt.select("conv_id", role.alias("role"), text.alias("text"), loss.alias("loss"), F.length("segment").cast("long").alias("size"), F.length(loss).cast("long").alias("chars"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -120,7 +128,7 @@ def formatted_digests(segments: DataFrame, loss_roles: tuple[str, ...] = ("assis
                 done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
 
         for b in batches:
-            for conv, role, text, learn, size, chars in zip(*[b[c].tolist() for c in ("conv_id", "role", "text", "learn", "size", "chars")]):
+            for conv, role, text, loss, size, chars in zip(*[b[c].tolist() for c in ("conv_id", "role", "text", "loss", "size", "chars")]):
                 conv = None if pd.isna(conv) else int(conv)
                 if state is None or conv != current:
                     close()
@@ -128,9 +136,9 @@ def formatted_digests(segments: DataFrame, loss_roles: tuple[str, ...] = ("assis
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 state[5] += int(size)
-                if learn:
+                if loss:
                     state[3] += int(chars)
-                    state[4].update(text.encode("utf-8", "surrogatepass"))
+                    state[4].update(loss.encode("utf-8", "surrogatepass"))
             if len(done) >= 10_000:
                 yield frame(done)
                 done.clear()
@@ -142,11 +150,11 @@ def formatted_digests(segments: DataFrame, loss_roles: tuple[str, ...] = ("assis
         f = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
         return f.assign(conv_id=pd.array([r[0] for r in rows], "Int64"))
 
-    return dealt.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """Formatted segments of a table of turns, written to the shared folder and read back.
+    """Formatted segments of a table of turns with their loss masks, written to the shared folder and read back.
 
     Null texts and roles are empty; null turns come first; null conversations are one conversation; repeated rows are turns
     of their own; an empty table gives no segments; extra columns are left out.
