@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from specloom.operators.feedback import selected, shown
 from specloom.sources.readers import INTERACTION, interaction_valid
@@ -51,7 +54,7 @@ def windowed_actions(events: DataFrame, width: str, slide: str | None = None, la
     """(start, end, action, n, value) in tumbling or sliding windows, of a table or a stream.
 
     With a lateness, a stream drops older events; their number is the batch progress metric
-    ``numRowsDroppedByWatermark`` (see :func:`dropped_late`).
+    ``numRowsDroppedByWatermark`` (see :class:`LateRows`).
     """
     if lateness and events.isStreaming:
         events = events.withWatermark(ts, lateness)
@@ -68,8 +71,51 @@ def user_sessions(events: DataFrame, gap: str, lateness: str | None = None, ts:
     return out.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop for being later than their watermark, over all batches of a run.
+
+    Register it before a query starts (``count_late``). It holds one number for each run; replayed batches that drop
+    rows again count again, as in Spark's own progress.
+    """
+
+    def __init__(self) -> None:
+        self._dropped: dict[str, int] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run: str) -> threading.Event:
+        return self._ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self._dropped[run] = self._dropped.get(run, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(str(event.runId)).set()
+
+    def total(self, query: StreamingQuery, timeout: float = 60.0) -> int:
+        """Rows dropped so far; of an ended query the final number, once all its reports have come in."""
+        run = str(query.runId)
+        if not query.isActive and not self._end(run).wait(timeout):
+            raise TimeoutError(f"the reports of run {run} have not all come in")
+        return self._dropped.get(run, 0)
+
+
+def count_late(spark: SparkSession) -> LateRows:
+    """A registered counter of late rows for every query started from now on."""
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    return counter
+
+
 def dropped_late(query: StreamingQuery) -> int:
-    """Rows a finished or running query has dropped for being later than its watermark."""
+    """Late rows in the progress reports that Spark still holds (the last 100 by default); see :class:`LateRows` for all."""
     return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 

@@ -121,6 +121,24 @@ def test_late_events_are_dropped_and_counted(spark, tmp_path):
     assert I.dropped_late(q) == 1
 
 
+def test_late_rows_are_counted_over_all_batches(spark, tmp_path):
+    src, key = str(tmp_path / "in"), "spark.sql.streaming.numRecentProgressUpdates"
+    for i, sec in enumerate([7200, 7300, 20, 30, 7400, 7500, 40, 7600, 7700]):
+        row = spark.createDataFrame([(sec,)], ["s"]).select(F.timestamp_seconds("s").alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+        row.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("ts TIMESTAMP, event_type STRING, value DOUBLE").option("maxFilesPerTrigger", 1).parquet(src)
+    counter = I.count_late(spark)
+    spark.conf.set(key, "1")
+    try:
+        out = I.windowed_actions(stream, "10 minutes", lateness="5 minutes")
+        q = out.writeStream.format("memory").queryName("late_all").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert counter.total(q) == 3 > I.dropped_late(q)
+    finally:
+        spark.conf.unset(key)
+        spark.streams.removeListener(counter)
+
+
 def test_splits_keep_groups_whole(spark):
     df = spark.range(300).selectExpr("id % 23 AS q", "id")
     folds = B.kfold(df, "q", 4, 1)
