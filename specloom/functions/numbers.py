@@ -107,9 +107,19 @@ def extract_citations(docs: DataFrame, key: str, text: str) -> DataFrame:
     raws = F.regexp_extract_all(c, F.lit(V.CITATION_PATTERN), F.lit(0))
     cut = docs.select(key, raws.alias("_raws"), F.split(c, V.CITATION_PATTERN, -1).alias("_gaps"))
     steps = F.zip_with("_raws", "_gaps", lambda r, g: F.length(g) + F.coalesce(F.length(r), F.lit(0)))
-    sized = cut.select(key, "_raws", steps.alias("_steps"))
-    spans = F.transform("_raws", lambda raw, i: F.struct(
-        raw.alias("raw"), F.aggregate(F.slice("_steps", F.lit(1), i + 1), F.lit(0), lambda a, n: a + n).alias("end")))
+    # running sums in two levels, whole blocks of sqrt(n) citations and the rest, so that n citations cost n * sqrt(n) steps
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, n: a + n)
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_raws"))).cast("int"))
+    stepped = cut.select(key, "_raws", steps.alias("_steps"), size.alias("_size"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_raws")), F.col("_size"))
+    summed = stepped.withColumn("_blocks", F.transform(starts, lambda at: total(F.slice("_steps", at, F.col("_size")))))
+    sized = summed.withColumn("_before", F.transform("_blocks", lambda _, b: total(F.slice("_blocks", F.lit(1), b))))
+
+    def end(i: Column) -> Column:
+        block = F.floor(i / F.col("_size")).cast("int")
+        return F.get("_before", block) + total(F.slice("_steps", block * F.col("_size") + 1, i - block * F.col("_size") + 1))
+
+    spans = F.transform("_raws", lambda raw, i: F.struct(raw.alias("raw"), end(i).alias("end")))
     # the outer form keeps the optimizer from repeating the pattern in an inferred filter
     rows = sized.select(key, F.posexplode_outer(spans).alias("pos", "_c")).filter(F.col("pos").isNotNull()).select(
         key, "pos", "_c.raw", (F.col("_c.end") - F.length("_c.raw")).alias("start"), "_c.end")
