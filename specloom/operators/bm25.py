@@ -52,9 +52,13 @@ def build_bm25(docs: DataFrame, key: str, text: str, variant: str = "alnum") ->
 
 
 def term_stats(postings: DataFrame, totals: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes epsilon times the mean idf of the vocabulary."""
+    """(term, df, idf) of an index's postings."""
+    return weigh_terms(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+
+
+def weigh_terms(counts: DataFrame, totals: DataFrame) -> DataFrame:
+    """(term, df, idf) of ``counts(term, df)``; a negative idf becomes epsilon times the mean idf of the vocabulary."""
     n = totals.select("n").scalar()
-    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = counts.withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf")).scalar()
     return raw.withColumn("idf", F.when(F.col("idf") < 0, mean * V.BM25_EPSILON).otherwise(F.col("idf")))

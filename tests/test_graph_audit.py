@@ -50,6 +50,47 @@ def test_chain_branches_cycles_and_unknown(spark):
     assert {r.id: r.current for r in G.first_active(chain).collect()} == {"a": "d", "b": "c", "c": "c", "d": "d"}
 
 
+def reached(status, successors):
+    """Breadth-first ways by hand: {(start, node): hop}."""
+    out = {}
+    for start in (n for n, s in status.items() if s != "active"):
+        seen, layer, hop = {start}, [start], 0
+        while layer:
+            hop += 1
+            fresh = sorted({b for a in layer if status.get(a, "active") != "active" for b in successors.get(a, [])} - seen)
+            out.update({(start, n): hop for n in fresh})
+            seen |= set(fresh)
+            layer = fresh
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_chain_equals_breadth_first_on_cyclic_graphs(spark, seed):
+    rng = random.Random(seed)
+    status = {f"n{i}": rng.choice(["active", "superseded", "superseded", "withdrawn", "withdrawn"]) for i in range(60)}
+    pairs = [(f"n{rng.randint(0, 59)}", f"n{rng.randint(0, 65)}") for _ in range(85)]  # some are not held, some repeat
+    ways = {}
+    for a, b in pairs:
+        ways.setdefault(a, []).append(b)
+    got = G.resolve_chain(spark.createDataFrame(list(status.items()), ["id", "status"]), spark.createDataFrame(pairs + pairs[:5], ["id", "successor"]))
+    rows = [(r.start, r.node, r.hop) for r in got.filter("hop > 0").collect()]
+    want = reached(status, ways)
+    assert len(rows) == len(want) and {(a, b): h for a, b, h in rows} == want
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds, cut = [], G.cut_lineage
+    monkeypatch.setattr(G, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    n = 1000
+    std = spark.range(n).select(F.concat(F.lit("e"), "id").alias("id"), F.when(F.col("id") == n - 1, "active").otherwise("superseded").alias("status"))
+    suc = spark.range(n - 1).select(F.concat(F.lit("e"), "id").alias("id"), F.concat(F.lit("e"), F.col("id") + 1).alias("successor"))
+    chain = G.resolve_chain(std, suc)
+    assert len(rounds) <= 12
+    assert chain.count() == n * (n - 1) // 2 + 1
+    assert chain.filter("hop != cast(substr(node, 2) as int) - cast(substr(start, 2) as int)").count() == 0
+    assert G.first_active(chain).filter("current = 'e999'").count() == n
+
+
 def test_ego_network_depth_two(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("c", "d", "x"), ("a", "c", "x"), ("d", "e", "x")], ["source_id", "target_id", "type"])
     nodes, kept = G.ego_network(spark.createDataFrame([("r", "a")], ["request", "node"]), edges, 2)
