@@ -76,6 +76,15 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     bits: int
+    known: np.ndarray  # for each bin whether a learned language uses it
+    strange: float  # share of other n-grams that a text of a learned language may have
+    least: float  # probability that a text of a learned language reaches
+
+    def fits(self, texts: list[str], probability: np.ndarray, least: float | None = None) -> np.ndarray:
+        """Whether each text may be of a learned language: by the probability of its best one and by its share of strange n-grams."""
+        bins, owner = gram_bins(texts, self.bits)
+        count, odd = np.bincount(owner, minlength=len(texts)), np.bincount(owner[~self.known[bins]], minlength=len(texts))
+        return (probability >= (self.least if least is None else least)) & (odd <= SPARE + self.strange * count)
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         bins, owner = gram_bins(texts, self.bits)
@@ -86,6 +95,8 @@ class LanguageModel:
 
 #: Shares of n-grams are small numbers; this brings the inputs near one.
 SCALE = 100.0
+#: So many n-grams of any text may be strange (a name, a short text).
+SPARE = 12
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -143,6 +154,32 @@ def temperature_of(logits: np.ndarray, targets: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def known_bins(vectors: list[tuple], targets: np.ndarray, bins: int, classes: int, common: float = 0.01) -> np.ndarray:
+    """Bins that at least a hundredth of the learned rows of some language hold, so that a rare language counts like a frequent one."""
+    known = np.zeros(bins, bool)
+    for k in range(classes):
+        own = [vectors[i][0] for i in np.flatnonzero(targets == k)]
+        if own:
+            known |= np.bincount(np.concatenate(own), minlength=bins) >= max(1, common * len(own))
+    return known
+
+
+def bounds_of(counts: list[tuple], known: np.ndarray, probability: np.ndarray, targets: np.ndarray, classes: int) -> tuple[float, float]:
+    """(share of strange n-grams, probability) that bound a learned language, from held-back rows; ``counts`` are (bins, counts).
+
+    The share is twice what all but a hundredth of a language's rows show beyond ``SPARE``, at least a tenth (addresses, codes, quoted words); the probability
+    lies halfway between chance and the lowest of the rows. Without held-back rows only chance is asked for.
+    """
+    chance = 1 / classes
+    if not counts:
+        return 1.0, chance
+    n = np.array([c.sum() for _, c in counts])
+    odd = np.array([c[~known[at]].sum() for at, c in counts])
+    share = np.maximum(0, odd - SPARE) / np.maximum(n, 1)
+    usual = max(np.quantile(share[targets == k], 0.99) for k in np.unique(targets))
+    return float(max(0.1, 2 * usual)), float((chance + probability.min()) / 2)
+
+
 def smallest_hashes(drawn: DataFrame, n_rows: dict[str, int], each: int) -> dict[str, int]:
     """For each language of ``drawn`` (lang, h) the ``each``-th smallest hash, or the largest where it has fewer rows.
 
@@ -209,21 +246,26 @@ def fit_language_model(rows: DataFrame, sample: int = 4000, bits: int = 15, seed
     some = some.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text", "h")
     table = some.mapInArrow(features, "lang string, h long, bins binary, counts binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])  # ``sample`` rows of at most 2^bits bins each
     targets = np.array([languages.index(x) for x in table["lang"].to_pylist()])
-    vectors = []
+    vectors, raw = [], []
     for at, n in zip(table["bins"].to_pylist(), table["counts"].to_pylist()):
         at, n = np.frombuffer(at, "<i4"), np.frombuffer(n, "<i4")
+        raw.append((at, n))
         vectors.append((at, n / max(1, n.sum()) * SCALE * idf[at]))
     held = np.arange(len(vectors)) % 5 == 4
     learn = [v for v, x in zip(vectors, held) if not x]
     w, bias = ftrl(learn, targets[~held], size, len(languages), seed=seed, **ftrl_options)
     logits = np.array([v @ w[at] + bias for (at, v), x in zip(vectors, held) if x])
     temperature = temperature_of(logits, targets[held]) if held.any() else 1.0
-    return LanguageModel(languages, w * idf[:, None], bias, temperature, bits)
+    known = known_bins(learn, targets[~held], size, len(languages))
+    best = softmax(logits / temperature).max(1) if held.any() else np.ones(0)
+    strange, least = bounds_of([r for r, x in zip(raw, held) if x], known, best, targets[held], len(languages))
+    return LanguageModel(languages, w * idf[:, None], bias, temperature, bits, known, strange, least)
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str = "text", reject: bool = False, least: float | None = None) -> DataFrame:
     """``docs`` with lang_pred and score; ``und`` and 0.0 for a text that is null or has no letter, or
-    without a model. All columns stay; clashing ones are replaced."""
+    without a model; with ``reject`` also for one that fits no learned language (``LanguageModel.fits``; ``least`` takes the place of
+    the learned probability). All columns stay; clashing ones are replaced."""
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).rlike(r"\p{L}").alias("_letter"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema)
@@ -236,8 +278,9 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, text: str =
             for s, texts in batches_of(b.column(place)) if model else ():
                 p = model.probabilities(texts)
                 best = p.argmax(1)
+                fits = model.fits(texts, p.max(1), least) if reject else np.ones(len(texts), bool)
                 for i, k in enumerate(best):
-                    if letters[s.start + i]:
+                    if letters[s.start + i] and fits[i]:
                         names[s.start + i], scores[s.start + i] = model.languages[k], p[i, k]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
         release_memory()
@@ -258,9 +301,16 @@ def identify_languages(docs: DataFrame, folds: int = 4, held: int = 2, sample: i
     return predict_languages(plain, model).drop("text")
 
 
-def keep_known_languages(docs: DataFrame, least: float = 0.3, folds: int = 4, held: int = 2, sample: int = 4000) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a probability of ``least`` or more; texts without a letter go."""
+def keep_known_languages(docs: DataFrame, least: float | None = None, folds: int = 4, held: int = 2, sample: int = 4000) -> DataFrame:
+    """The rows of ``docs`` whose text fits a learned language, by two bounds that held-back rows set: the calibrated probability of the
+    best language (``least`` overrides it) and the share of n-grams that no learned language uses. The second tells a foreign
+    text also where one or two languages are learned and a probability cannot.
+
+    Null texts and texts without a letter go, and every row where no row has a language. Repeated rows are each decided alike; a null id has
+    the fold of the empty text; an empty table gives none; the columns stay, extra ones with them.
+    """
     rows = docs.select(F.col("doc_id").cast("string").alias("key"), "text", "lang", (fold_of("doc_id", folds) == held).alias("out"))
     model = fit_language_model(rows.where(~F.col("out")).drop("out"), sample)
-    named = predict_languages(docs, model)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    named = predict_languages(given, model, reject=True, least=least)
+    return named.where(F.col("lang_pred") != "und").select("row.*")
