@@ -166,3 +166,23 @@ def test_guards(spark, tmp_path):
     out = str(tmp_path / "t")
     assert not C.write_if_valid(df, df, out, write=True) and not C.write_if_valid(df, df.limit(0), out)
     assert C.write_if_valid(df, df.limit(0), out, write=True) and spark.read.parquet(out).count() == 2
+
+
+def test_only_cited_needs_are_joined(spark, monkeypatch):
+    """Records that no document cites need nothing, so mentions meet only the needs of cited ones; met needs are left out."""
+    written, cut = [], A.cut_lineage
+    monkeypatch.setattr(A, "cut_lineage", lambda df: (out := cut(df), written.append((out.columns, out.count())))[0])
+    cites = spark.createDataFrame([("d1", "a", 0, 4, "IS 1"), ("d1", "b", 9, 13, "IS 2"), ("d1", "a", 20, 24, "IS 1"), ("d2", "a", 3, 7, "IS 1"), ("d3", None, 0, 4, "IS 9")],
+                                  "doc STRING, standard_id STRING, start INT, end INT, raw STRING")
+    edges = [("a", "b", "R"), ("a", "c", "R"), ("b", "c", "X")] + [(f"n{i}", "c", "R") for i in range(50)]
+    std = spark.createDataFrame([(x, f"IS {x}") for x in "abc"], ["id", "number"])
+    got = A.lint_missing_allied(cites, spark.createDataFrame(edges, ["source_id", "target_id", "type"]), std, ["R"])
+    assert sorted((r.doc, r.start, r.evidence, r.standard_id) for r in got.collect()) == [("d1", 0, "IS 1", "c"), ("d2", 3, "IS 1", "b"), ("d2", 3, "IS 1", "c")]
+    assert [n for c, n in written if "needed" in c] == [2]
+
+
+def test_a_mark_in_the_text_moves_no_span(spark):
+    from specloom.functions.numbers import extract_citations
+    text = "\x01 IS 10:1990\x01IS 20 \x02" + "IS 30, " * 40
+    rows = extract_citations(spark.createDataFrame([(1, text), (2, None), (3, "")], ["doc", "text"]), "doc", "text").orderBy("pos").collect()
+    assert len(rows) == 42 and all(text[r.start:r.end] == r.raw and r.doc == 1 for r in rows)
