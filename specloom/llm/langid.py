@@ -311,6 +311,8 @@ def keep_known_languages(docs: DataFrame, least: float | None = None, folds: int
     """
     rows = docs.select(F.col("doc_id").cast("string").alias("key"), "text", "lang", (fold_of("doc_id", folds) == held).alias("out"))
     model = fit_language_model(rows.where(~F.col("out")).drop("out"), sample)
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    # a text passes to Python once: it is left out of the other columns, which go along as one
+    others = [c for c in docs.columns if c != "text"]
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text"))
     named = predict_languages(given, model, reject=True, least=least)
-    return named.where(F.col("lang_pred") != "und").select("row.*")
+    return named.where(F.col("lang_pred") != "und").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
