@@ -141,18 +141,23 @@ def extract_citations(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def line_items(docs: DataFrame, key: str, text: str, min_chars: int = 4) -> DataFrame:
     """One row per line item: (key, line, item, start, end); the bullet is left out of text and span."""
-    breaks = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
-    c = F.col(text)
-    cut = docs.select(key, F.split(c, breaks, -1).alias("_lines"), F.regexp_extract_all(c, F.lit(f"({breaks})"), F.lit(1)).alias("_seps"))
-    widths = F.zip_with("_lines", "_seps", lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(0)))
+    breaks = r"[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
+    c, pair = F.col(text), F.lit("\r\n")
+    # a break is one character wide; only where a pair of them makes one break are the breaks themselves looked at
+    seps = F.when(F.contains(c, pair), F.regexp_extract_all(c, F.lit(rf"(\r\n|{breaks})"), F.lit(1)))
+    cut = docs.select(key, F.split(F.replace(c, pair, F.lit("\n")), breaks, -1).alias("_lines"), F.coalesce(seps, F.array().cast("array<string>")).alias("_seps"))
+    widths = F.zip_with("_lines", "_seps", lambda a, b: F.length(a) + F.coalesce(F.length(b), F.lit(1)))
     sized = cut.select(key, "_lines", widths.alias("_w"))
+    space = F.lit(" \t\n\x0b\f\r")
+
+    def bare(line: Column) -> Column:
+        return F.btrim(F.regexp_replace(F.btrim(line, space), V.BULLET_PREFIX, ""), space)
+
+    # the item is made before the rows are, so that no filter on it repeats the pattern
     placed = F.transform("_lines", lambda line, i: F.struct(
-        line.alias("raw"), F.aggregate(F.slice("_w", F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("before")))
-    rows = sized.select(key, F.posexplode_outer(placed).alias("line", "_s")).filter(F.col("line").isNotNull()).select(
-        key, "line", "_s.raw", "_s.before")
-    edge = r"^\s+|\s+$"
-    item = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", edge, ""), V.BULLET_PREFIX, ""), edge, "")
-    rows = rows.withColumn("item", item).filter(F.length("item") >= min_chars)
+        line.alias("raw"), F.aggregate(F.slice("_w", F.lit(1), i), F.lit(0), lambda a, n: a + n).alias("before"), bare(line).alias("item")))
+    rows = sized.select(key, F.posexplode_outer(placed).alias("line", "_s")).filter(F.length("_s.item") >= min_chars).select(
+        key, "line", "_s.raw", "_s.before", "_s.item")
     start = F.col("before") + F.instr("raw", F.col("item")) - 1
     return rows.select(key, "line", "item", start.alias("start"), (start + F.length("item")).alias("end"))
 
