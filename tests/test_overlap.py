@@ -59,3 +59,17 @@ def test_lift_of_records_and_pairs(spark):
     got = dispute_lift(spark.createDataFrame(cites, "doc long, record long"), spark.createDataFrame(outcomes, "doc long, bad boolean"), 4).collect()
     assert {tuple(r) for r in got} == want and any(r["second"] for r in got)
     assert dispute_lift(spark.createDataFrame([], "doc long, record long"), spark.createDataFrame([], "doc long, bad boolean")).collect() == []
+
+
+def test_no_pair_carries_its_words(spark):
+    """Every pair of blocks, and sets that are in many pairs, against plain sets; the words meet the pairs in one shuffle."""
+    from specloom.operators.overlap import shared_words
+
+    rng = random.Random(4)
+    sets = {f"k{i}": sorted(rng.sample(range(40), rng.randint(1, 12))) for i in range(50)}
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if rng.random() < 0.7]
+    out = shared_words(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(list(sets.items()), "key string, words array<long>"), 9)
+    want = {(a, b, len(sets[a]), len(sets[b]), len(set(sets[a]) & set(sets[b]))) for a, b in pairs}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
