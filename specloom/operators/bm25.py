@@ -92,10 +92,18 @@ def bm25_search(queries: DataFrame, index: Bm25Index, k: int, key: str, text: st
 
 
 def full_text_search(queries: DataFrame, index: Bm25Index, k: int, key: str, text: str) -> DataFrame:
-    """Documents that hold every query word, ranked by summed term frequency."""
-    wanted = query_terms(queries, key, text, index.variant)
-    needed = wanted.groupBy("query").agg(F.count(F.lit(1)).alias("_needed"))
-    hits = salted_join(index.postings, wanted, ["term"], "doc").groupBy("query", "doc").agg(
+    """Documents that hold every query word, ranked by summed term frequency.
+
+    A result holds the query's rarest word, so only documents with that word meet the query's other words; a query with a word
+    that no document holds has none.
+    """
+    wanted = cut_lineage(query_terms(queries, key, text, index.variant))  # written, so that Spark knows its size before it plans the joins
+    known = wanted.join(index.terms.select("term", "df"), "term", "left")
+    rarest = known.groupBy("query").agg(F.count(F.lit(1)).alias("_needed"), F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("_r"))
+    rarest = cut_lineage(rarest.filter(F.col("_r.df") > 0).select("query", "_needed", F.col("_r.term").alias("term")))
+    start = salted_join(index.postings.select("term", "doc"), rarest, ["term"], "doc").select("query", "doc", "_needed").distinct()
+    asked = start.join(wanted.select("query", "term"), "query")
+    hits = asked.join(index.postings.select("term", "doc", "tf"), ["term", "doc"]).groupBy("query", "doc", "_needed").agg(
         F.count(F.lit(1)).alias("_have"), F.sum("tf").alias("score"))
-    full = hits.join(needed, "query").filter(F.col("_have") == F.col("_needed"))
+    full = hits.filter(F.col("_have") == F.col("_needed"))
     return topk(full.select("query", "doc", "score"), ["query"], ["-score", "doc"], k)
