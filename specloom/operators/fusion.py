@@ -13,7 +13,7 @@ from specloom.functions.text import is_latin
 from specloom.operators import blocked, dense
 from specloom.operators.bm25 import Bm25Index, query_terms
 from specloom.operators.patterns import pattern_hits
-from specloom.operators.ranking import maxnorm, topk
+from specloom.operators.ranking import maxnorm, spread_join, topk
 from specloom.session import cut_lineage
 
 
@@ -35,16 +35,29 @@ def weighted_fusion(dense_hits: DataFrame, sparse_hits: DataFrame, top: int,
     return topk(fused, ["query"], ["-score", "doc"], top)
 
 
-def alias_hits(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+def alias_hits(queries: DataFrame, aliases: DataFrame, longest: int = 8) -> DataFrame:
     """Whole-phrase alias hits as (query, doc, alias_score).
 
     ``queries(query, text)``, ``aliases(doc, alias)``: a phrase occurs if, padded with spaces, it stands anywhere in the lower-cased,
-    padded text. Distinct phrases are looked up once (``pattern_hits``) and joined back to their documents.
+    padded text, that is, if the pieces between its spaces follow one another among those of the text. So the runs of a text's pieces meet the distinct
+    phrases by equality, at most ``longest`` pieces long; a longer phrase meets them by its first pieces and is looked for in the text then.
     """
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    sized = aliases.filter(F.col("alias") != "").select("doc", "alias", padded(F.col("alias")).alias("pattern"))
-    hits = pattern_hits(queries.select("query", padded(F.lower("text")).alias("text")), sized)
-    scored = sized.join(hits, "pattern").withColumn("s", F.length("alias") / 40.0 + 1.0)
+    pieces = lambda c: F.split(c, " ", -1)
+    named = cut_lineage(aliases.filter(F.col("alias") != "").select("doc", "alias"))  # read three times below
+    sized = named.select("alias").distinct().withColumn("n", F.least(F.size(pieces(F.col("alias"))), F.lit(longest)))
+    phrases = cut_lineage(sized.select("alias", "n", F.array_join(F.slice(pieces(F.col("alias")), F.lit(1), F.col("n")), " ").alias("run")))
+    lengths = phrases.agg(F.collect_set("n").alias("l")).select("l").scalar()  # at most ``longest`` numbers
+
+    texts = queries.select("query", F.lower("text").alias("text")).filter(F.col("text").isNotNull())
+    cut = texts.select("query", pieces(F.col("text")).alias("ws")).withColumn("n", F.explode(lengths)).filter(F.size("ws") >= F.col("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1), lambda i: F.array_join(F.slice("ws", i, F.col("n")), " "))
+    found = cut_lineage(cut.select("query", "n", F.explode_outer(F.array_distinct(runs)).alias("run")).join(phrases, ["n", "run"]))
+    whole = F.col("alias") == F.col("run")
+    longer = found.filter(~whole).join(texts, "query").filter(padded(F.col("text")).contains(padded(F.col("alias"))))
+    hits = cut_lineage(found.filter(whole).select("query", "alias").unionByName(longer.select("query", "alias")).distinct())
+
+    scored = spread_join(named, hits, ["alias"], "doc").withColumn("s", F.length("alias") / 40.0 + 1.0)
     return scored.groupBy("query", "doc").agg(F.max("s").alias("alias_score"))
 
 

@@ -164,9 +164,9 @@ def text_queries(t: Tables):
 
 
 def doc_aliases(t: Tables):
-    """The opening words of all sentences of each document."""
-    found = F.explode(F.regexp_extract_all("text", F.lit(OPENING), F.lit(1)))
-    return t.documents.select(F.col("doc_id").alias("doc"), found.alias("p")).select("doc", F.lower("p").alias("alias")).distinct()
+    """The opening words of all sentences of each document, each once in a row of the table."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(OPENING), F.lit(1)), F.lower))
+    return t.documents.select(F.col("doc_id").alias("doc"), F.explode_outer(found).alias("alias")).filter(F.col("alias").isNotNull())
 
 
 def doc_designations(t: Tables):
