@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specloom.functions import vocab as V
+from specloom.functions.rows import repeats, token_slices
 from specloom.functions.text import tokens
 from specloom.operators import blocked
 from specloom.operators.ranking import salted_join, topk
@@ -40,36 +40,22 @@ class Bm25Index:
         return Bm25Index(*[spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "totals")], variant)
 
 
-#: Tokens that a task counts at once.
-SLICE_TOKENS = 500_000
-
-
 def row_counts(rows: DataFrame) -> DataFrame:
     """(term, doc, dl, tf) of ``rows(doc, tokens)``: how often each row holds each of its tokens. A row's tokens are counted where it is, so
     that nothing is sorted, spilled or shuffled."""
     schema = T.StructType([T.StructField("term", T.StringType()), rows.schema["doc"], T.StructField("dl", T.LongType()), T.StructField("tf", T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy().astype(np.int64)
-            for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_TOKENS)) + 1):
-                if not len(some) or not sizes[some].sum():
-                    continue
-                part = batch.slice(some[0], len(some))
-                owner = np.repeat(np.arange(len(some)), sizes[some])
+        for part, sizes in token_slices(batches):
+            if sizes.sum():
+                owner = np.repeat(np.arange(len(sizes)), sizes)
                 held = pa.table({"row": owner, "term": part.column(1).flatten()}).group_by(["row", "term"]).aggregate([([], "count_all")])
-                held = held.combine_chunks()
-                row = held["row"].combine_chunks()
-                yield pa.RecordBatch.from_arrays([held["term"].combine_chunks(), part.column(0).take(row), pa.array(sizes[some]).take(row), held["count_all"].combine_chunks()], names=schema.names)
+                row, term, tf = (held[c].combine_chunks() for c in ("row", "term", "count_all"))
+                yield pa.RecordBatch.from_arrays([term, part.column(0).take(row), pa.array(sizes).take(row), tf], names=schema.names)
 
     return rows.mapInArrow(count, schema)
 
 
-def repeats(df: DataFrame, key: str) -> bool:
-    """Whether rows share a key."""
-    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").isEmpty()
-
-
 def build_bm25(docs: DataFrame, key: str, text: str, variant: str = "alnum") -> Bm25Index:
     """Index a corpus: one pass over the text, written once and read by every later step.
 
