@@ -5,12 +5,19 @@ Each SQL constant is one or more common table expressions; ``cte`` joins them in
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from specloom.functions.rows import token_slices
 from specloom.operators.ranking import spread, tasks_for
 from specloom.plans.registry import Tables
 
@@ -54,6 +61,31 @@ def qrels(t: Tables) -> DataFrame:
                       spread(t.documents, "doc_id").select(F.col("doc_id").alias("doc"), "text"))
 
 
+def word_runs(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, size, n, run): a hash of each run of ``n`` words of ``texts(id, text, size)``, for all ``lengths``. A word is hashed once, and a run's hash is a
+    sum over its words."""
+    schema = T.StructType([texts.schema.fields[0], T.StructField("size", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("run", T.LongType())])
+    factors = [pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(max(lengths, default=0))]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern_regex(batch.column(1), r"[ \t\n\x0B\f\r]+")
+            for part, sizes in token_slices([pa.RecordBatch.from_arrays([batch.column(0), split, batch.column(2)], names=["id", "words", "size"])]):
+                coded = part.column(1).flatten().dictionary_encode()
+                names = [int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little") for w in coded.dictionary.to_pylist()]
+                each = np.array(names, np.uint64)[coded.indices.to_numpy()]
+                left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(each))  # words from here to the end of the row
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                for n in lengths:
+                    if n <= len(each):
+                        total = sum(each[j:len(each) - n + 1 + j] * np.uint64(factors[j]) for j in range(n))
+                        at = np.flatnonzero(left[:len(total)] >= n)
+                        own = pa.array(row[at])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(2).take(own), pa.array(np.full(len(at), n, np.int32)), pa.array(total[at].view(np.int64))], names=schema.names)
+
+    return texts.mapInArrow(hashed, schema)
+
+
 def containing(passages: DataFrame, docs: DataFrame, longest: int = 8) -> DataFrame:
     """(query, doc): documents whose text contains the passage anywhere. A blank passage is in none.
 
@@ -65,12 +97,9 @@ def containing(passages: DataFrame, docs: DataFrame, longest: int = 8) -> DataFr
     words = docs.select("doc", F.split("text", r"\s+").alias("ws"))
 
     inner = ws.filter(F.size("ws") > 2).withColumn("n", F.least(F.size("ws") - 2, F.lit(longest)))
-    runs = inner.select("query", "n", F.xxhash64(F.array_join(F.slice("ws", F.lit(2), F.col("n")), " ")).alias("run"))
-    lengths = inner.agg(F.collect_set("n").alias("l")).select("l").scalar()  # at most ``longest`` numbers
-    sized = words.withColumn("n", F.explode(lengths)).filter(F.size("ws") >= F.col("n"))
-    found = F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1),
-                        lambda i: F.xxhash64(F.array_join(F.slice("ws", i, F.col("n")), " ")))
-    by_run = sized.select("doc", "n", F.explode_outer(found).alias("run")).join(runs, ["n", "run"]).select("query", "doc")
+    lengths = sorted(r["n"] for r in inner.select("n").distinct().collect())  # at most ``longest`` numbers
+    runs = word_runs(inner.select("query", F.array_join(F.slice("ws", F.lit(2), F.col("n")), " ").alias("text"), F.col("n").alias("size")), lengths).filter("n = size").select("query", "n", "run")
+    by_run = word_runs(docs.select("doc", "text", F.lit(0).alias("size")), lengths).select("doc", "n", "run").join(runs, ["n", "run"]).select("query", "doc")
 
     longer = F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("n"), w.alias("piece"))))
     short = ws.filter(F.size("ws") <= 2).withColumn("l", longer).select("query", "l.n", "l.piece")
