@@ -1,0 +1,13 @@
+from specloom.functions import numbers as N
+from specloom.operators import audit as A
+
+
+def test_a_form_is_resolved_once_however_often_it_is_cited(spark, monkeypatch):
+    texts = spark.createDataFrame([("a", "as per IS 101:1999. Testing to IS 101:1999 and IS 7 (Part 2) and IS 8"), ("b", "IS 101:1999, IS 102"), ("c", None), (None, "IS 55")], "doc string, text string")
+    corpus = spark.createDataFrame([("S1", "IS 101:1999", "active", 1999), ("S2", "IS 102:2001", "active", 2001), ("S3", "IS 7 (Part 2):1990", "active", 1990)], "id string, number string, status string, edition_year int")
+    want = A.resolve_citations(N.extract_citations(texts, "doc", "text"), corpus)
+    sizes, own = [], A.resolve_citations
+    monkeypatch.setattr(A, "resolve_citations", lambda c, *a: sizes.append(c.count()) or own(c, *a))
+    got = A.cited_standards(texts, "doc", "text", corpus)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert sizes == [3] and got.count() == 5  # a number has two digits at least
