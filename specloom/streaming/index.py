@@ -97,6 +97,14 @@ def _write_base(live: DataFrame, path: str, version: int, n: int, bucket_docs: i
     return buckets
 
 
+def _single(changes: DataFrame, order: list[str]) -> DataFrame:
+    """The first row by ``order`` of each document. Only rows that share a document meet in a shuffle with their texts."""
+    given = changes.filter("doc IS NOT NULL")
+    again = cut_lineage(given.groupBy("doc").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc"))
+    repeated = first_per_group(given.join(again, "doc", "left_semi"), ["doc"], order)
+    return given.join(again, "doc", "left_anti").unionByName(repeated)
+
+
 def _state(spark: SparkSession, path: str, before: int | None = None):
     rows = latest(spark, f"{path}/state", before)
     return None if rows is None else rows.first()
@@ -113,7 +121,7 @@ def apply_batch(changes: DataFrame, path: str, version: int, variant: str = "aln
     spark = changes.sparkSession
     doc_type = changes.schema["doc"].dataType.simpleString()
     state = _state(spark, path, before=version)
-    single = first_per_group(changes.filter("doc IS NOT NULL"), ["doc"], order or changes.columns)
+    single = _single(changes, order or changes.columns)
     write_version(counted_documents(single, variant), f"{path}/added", version)
     batch = spark.read.parquet(f"{path}/added/version={version}")
     held = batch.limit(0) if state is None else _before_batch(spark, path, state, batch, doc_type)
